@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import matroska, packing, warc
+from tessera.llm import langid, matroska, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ FROM f
 """
 
 
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_all(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -45,6 +49,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska_media": op1_matroska_media,
     "op2_warc_records": op2_warc_records,
+    "op3_language_crf": op3_language_crf,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc_records": OP2_SQL}
