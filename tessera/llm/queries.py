@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, matroska, packing, warc
+from tessera.llm import langid, matroska, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +46,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska_media": op1_matroska_media,
     "op2_warc_records": op2_warc_records,
     "op3_language_crf": op3_language_crf,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_quality_crf": op8_quality_crf,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc_records": OP2_SQL}
