@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, matroska, packing, quality, warc
+from tessera.llm import langid, matroska, neardup, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_records": op2_warc_records,
     "op3_language_crf": op3_language_crf,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_order_minhash": op6_order_minhash,
     "op8_quality_crf": op8_quality_crf,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc_records": OP2_SQL}
