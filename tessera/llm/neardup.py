@@ -6,8 +6,8 @@ candidate pair, which is likelier the smaller their edit distance is. Candidates
 distance (lengths, word histograms) and are then aligned in a band, so that no text is linked on a sketch alone.
 
 Scale. Equal texts are one class from the start, found by a partially aggregated group-by, however many there are. In a
-bucket every class is compared with the least class only, not with all others; classes not linked to it go on to further
-rounds with a new least class, until a round finds no new link. So pairs grow with the number of classes, not with its
+bucket every class is compared with the least class only, not with all others; then the others, if they aren't all linked
+to each other yet, go on to further rounds with a new least class, until a round finds no new link. So pairs grow with the number of classes, not with its
 square. Lengths and histograms travel for candidates, texts only for pairs that those bounds leave. Hot buckets and hot
 leaders have small rows that adaptive execution can split. Components come from alternating large-star and small-star
 steps on written tables.
@@ -261,9 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = written(components(links), "roots")
         now = open_.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         now = written(now.select("key", "cls", "root"), "rooted")
-        # Those linked to the bucket's least class are done; the others go on if they are of several components.
-        lead = now.groupBy("key").agg(F.min_by("root", "cls").alias("lead_root"))
-        rest = now.join(lead, "key").filter("root != lead_root").drop("lead_root")
+        # The least class has been compared with all others; these go on if they are of several components.
+        lead = now.groupBy("key").agg(F.min("cls").alias("lead"))
+        rest = now.join(lead, "key").filter("cls != lead").drop("lead")
         several = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
         open_ = written(rest.join(several, "key").select("key", "cls", "root"), "buckets")
     info = one.select("cls", "id", F.col("copies").alias("n_copies"))
