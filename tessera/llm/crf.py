@@ -74,6 +74,31 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, in
     return marginals, total, marginals[starts].sum(0)
 
 
+def forward_backward_padded(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, init: np.ndarray, pairs: bool = False):
+    """The same for sequences of like length in rows (rows x positions x labels); marginals past a length are 0."""
+    n, t, k = emit.shape
+    psi = np.exp(np.maximum(emit - emit.max(2, keepdims=True), -60)).astype(np.float64)
+    a, pi = np.exp(trans - trans.max()), np.exp(init - init.max())
+    alpha, beta = np.empty((t, n, k)), np.ones((t, n, k))
+    for i in range(t):
+        v = psi[:, i] * ((alpha[i - 1] @ a) if i else pi)
+        alpha[i] = v / v.max(1, keepdims=True)
+    for i in range(t - 2, -1, -1):
+        v = (beta[i + 1] * psi[:, i + 1]) @ a.T
+        beta[i] = np.where((i + 1 < lengths)[:, None], v / v.max(1, keepdims=True), 1.0)
+    m = alpha * beta
+    m /= m.sum(2, keepdims=True)
+    m *= (np.arange(t)[:, None] < lengths)[:, :, None]
+    m = m.transpose(1, 0, 2)
+    if not pairs:
+        return m
+    total = np.zeros((k, k))
+    for i in range(1, t):
+        xi = alpha[i - 1][:, :, None] * a * (psi[:, i] * beta[i])[:, None, :]
+        total += (xi / xi.sum((1, 2), keepdims=True))[i < lengths].sum(0)
+    return m, total, m[:, 0].sum(0)
+
+
 class Adam:
     """Gradient ascent with per-weight step sizes."""
 

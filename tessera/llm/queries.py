@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, matroska, neardup, packing, quality, warc
+from tessera.llm import langid, matroska, neardup, packing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_crf": op3_language_crf,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_order_minhash": op6_order_minhash,
+    "op7_personal_data": op7_personal_data,
     "op8_quality_crf": op8_quality_crf,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc_records": OP2_SQL}
