@@ -239,6 +239,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, least: float) -
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (least id of its class), n_links (verified links of its text), n_copies (rows with its text).
 
+    See `classified`, which adds the text's class and whether that class's rows with class_id stay."""
+    return classified(docs, id_col, text_col, least).drop("cls", "keep")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all columns, that stay: one of each class, that with the least id.
+
+    What goes is joined away by id and text class; the list of it is broadcast only if it has at most BROADCAST_ROWS rows.
+    """
+    rows = written(classified(docs, id_col, text_col, least).groupBy("doc_id", "cls").agg(F.count("*").alias("n"), F.first(F.col("keep") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays")), "kept")
+    gone = rows.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone_id"), F.col("cls").alias("_gone_cls"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    cls = _class_of(text_or_empty(text_col))
+    stay = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone_id")) & (cls == F.col("_gone_cls")), "left_anti")
+    again = rows.filter("stays and n > 1").select(F.col("doc_id").alias("_gone_id"), F.col("cls").alias("_gone_cls"))
+    if again.isEmpty():
+        return stay
+    where = stay[id_col].eqNullSafe(F.col("_gone_id")) & (cls == F.col("_gone_cls"))
+    once = stay.join(again, where, "left_semi").withColumn("_cls", cls).dropDuplicates([id_col, "_cls"]).drop("_cls")
+    return stay.join(again, where, "left_anti").unionByName(once)
+
+
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """doc_id, cls (16 bytes of its text's hash), class_id, keep, n_links, n_copies.
+
     One row per row of docs. Null texts count as empty, and all empty texts are copies of each other; null ids are
     never the least unless all of a class are null; repeated rows are copies; texts without words are compared whole.
     Other columns are ignored and an empty table gives no rows.
@@ -268,10 +293,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = written(rest.join(several, "key").select("key", "cls", "root"), "buckets")
     info = one.select("cls", "id", F.col("copies").alias("n_copies"))
     if links is None:
-        info = info.select("cls", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_copies")
+        info = info.select("cls", F.col("id").alias("class_id"), F.lit(True).alias("keep"), F.lit(0).cast("long").alias("n_links"), "n_copies")
     else:
         count = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
         info = info.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(count, "cls", "left")
-        ids = info.groupBy("root").agg(F.min("id").alias("class_id"))
-        info = info.join(ids, "root").select("cls", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return members.join(info, "cls").select(F.col("id").cast(kind).alias("doc_id"), "class_id", "n_links", "n_copies")
+        best = info.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls")).alias("best"))
+        info = info.join(best, "root").select("cls", F.col("best.id").alias("class_id"), (F.col("best.cls") == F.col("cls")).alias("keep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    return members.join(info, "cls").select(F.col("id").cast(kind).alias("doc_id"), "cls", "class_id", "keep", "n_links", "n_copies")

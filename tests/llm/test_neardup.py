@@ -97,6 +97,13 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.class_id or 0, r.n_copies) for r in got) == [(False, 1, 1, 1), (False, 1, 1, 3), (False, 1, 1, 3), (True, 0, 0, 1), (True, 0, 1, 3)]
 
 
+def test_one_row_of_each_class_stays(spark):
+    rows = [(5, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (4, "a b c d e f g h i k"), (3, "z z y"), (9, None), (8, ""), (None, "q"), (None, "q")]
+    got = nd.deduplicated(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA))
+    assert got.columns == ["doc_id", "text", "class_id", "cls"]
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == [(0, "q"), (3, "a b c d e f g h i j"), (3, "z z y"), (8, "")]
+
+
 def test_a_chain_of_links(spark):
     words = [f"v{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 6 : i * 6 + 60]), "x", "y") for i in range(40)]
