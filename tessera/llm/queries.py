@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, matroska, neardup, packing, pieces, pii, quality, urlfilter, warc
+from tessera.llm import langid, matroska, neardup, packing, pieces, pii, quality, search, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,11 @@ SELECT page_id, fetched, coalesce(n_hits, 0) AS n_hits, lists FROM p LEFT JOIN h
 """
 
 
+def op10_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska_media": op1_matroska_media,
     "op2_warc_records": op2_warc_records,
@@ -117,5 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_personal_data": op7_personal_data,
     "op8_quality_crf": op8_quality_crf,
     "op9_temporal_url_filter": op9_temporal_url_filter,
+    "op10_block_max_wand": op10_block_max_wand,
 }
 ORACLE_SQL: dict[str, str] = {"op2_warc_records": OP2_SQL, "op9_temporal_url_filter": OP9_SQL}
