@@ -180,7 +180,7 @@ def is_greater_equal(a: Column, b: Column) -> Column:
 def scalar_pow(q: Column, s: Column) -> Column:
     """exp(s log q); with s = 0 the identity for zero and zero for all else."""
     zero = F.when(is_zero(q), identity()).otherwise(quaternion(0, 0, 0, 0))
-    return F.when(s == 0, zero).otherwise(let(log(q), lambda v: exp(scale(v, s))))
+    return F.when(s == 0, zero).otherwise(let(let(log(q), lambda v: scale(v, s)), exp))
 
 
 def power(q: Column, r: Column) -> Column:
@@ -220,7 +220,10 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def slerp(a: Column, b: Column, tau: Column) -> Column:
-    return let(let(_near(a, b), lambda c: div(c, a)), lambda r: let(scalar_pow(r, tau), lambda p: mul(p, a)))
+    def of(v: Column) -> Column:
+        return let(let(_near(v["a"], v["b"]), lambda c: div(c, v["a"])), lambda r: let(scalar_pow(r, v["t"]), lambda p: mul(p, v["a"])))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), tau.alias("t")), of)
 
 
 def squad(q: Column, a: Column, b: Column, q1: Column, tau: Column) -> Column:

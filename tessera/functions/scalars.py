@@ -56,17 +56,32 @@ def softsign(x: Column) -> Column:
 ACTIVATIONS = {f.__name__: f for f in (sigmoid, logistic, relu, leaky_relu, elu, selu, gelu, tanh, softplus, softsign)}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once; inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
 def softmax(a: Column) -> Column:
     """Of an array, shifted by its largest element."""
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+    def scaled(e: Column) -> Column:
+        return _let(_sum(e), lambda z: F.transform(e, lambda x: x / z))
+
+    return _let(a, lambda v: _let(F.array_max(v), lambda m: _let(F.transform(v, lambda x: F.exp(x - m)), scaled)))
 
 
 def layernorm(a: Column, epsilon: float = 1e-5) -> Column:
     """(x - mean) / sqrt(population variance + epsilon) of an array."""
-    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
-    var = F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(a)
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(var + epsilon))
+
+    def scaled(d: Column) -> Column:
+        spread = F.sqrt(_sum(F.transform(d, lambda x: x * x)) / F.size(d) + epsilon)
+        return _let(spread, lambda s: F.transform(d, lambda x: x / s))
+
+    return _let(a, lambda v: _let(_sum(v) / F.size(v), lambda m: _let(F.transform(v, lambda x: x - m), scaled)))
 
 
 def hypot(x: Column, y: Column) -> Column:

@@ -68,7 +68,7 @@ class OneHotEncoder(OrdinalEncoder):
 
     def transform(self, df: DataFrame, out: str = "onehot") -> DataFrame:
         coded = super().transform(df.withColumns({f"_c_{c}": F.col(c) for c in self.columns}))
-        blocks = [F.transform(F.sequence(F.lit(0), F.lit(self.sizes[c] - 1)), lambda i, c=c: F.when(i == F.col(c), 1.0).otherwise(0.0)) for c in self.columns]
+        blocks = [one_hot(F.col(c), self.sizes[c]) for c in self.columns]
         coded = coded.withColumn(out, F.concat(*blocks))
         return coded.withColumns({c: F.col(f"_c_{c}") for c in self.columns}).drop(*(f"_c_{c}" for c in self.columns))
 

@@ -253,6 +253,15 @@ def knn_predict(queries: DataFrame, train: DataFrame, k: int, query_id: str = "q
     return untied.groupBy("query_id").agg(F.max_by("prediction", "kk").alias("prediction"))
 
 
+def bounded(df: DataFrame, max_rows: int = 1_000_000) -> pd.DataFrame:
+    """All rows on the driver, for models that are one task's work by definition; more than max_rows are an error, never
+    a silent sample."""
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{n} rows, more than {max_rows}: fit per group with applyInPandas, or raise max_rows")
+    return df.toPandas()
+
+
 # --- models of one group of rows -----------------------------------------------------------------------------------
 
 
@@ -346,9 +355,7 @@ class RandomForest:
 
     def train(self, df: DataFrame, features: Sequence[str], target: str, row_id: str, max_rows: int = 200_000) -> "RandomForest":
         """Rows are sent to every tree; more than max_rows are an error rather than a silent sample."""
-        if df.count() > max_rows:
-            raise ValueError(f"more than {max_rows} rows: raise max_rows if executors can hold them")
-        rows = df.select(row_id, *features, target).orderBy(row_id).toPandas()
+        rows = bounded(df.select(row_id, *features, target), max_rows).sort_values(row_id)
         x, y = rows[list(features)].to_numpy(float), rows[target].to_numpy(float)
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast((x, y))

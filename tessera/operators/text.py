@@ -28,15 +28,19 @@ def ngrams(words: Column, low: int = 1, high: int = 1) -> Column:
     low, high = min(low, high), max(low, high)
     if low < 1:
         raise ValueError("n must be positive")
-    parts = []
-    for n in range(low, high + 1):
+
+    def of(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        parts.append(words if n == 1 else F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), "_")))
+        return words if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), "_"))
+
+    parts = [of(n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def tokenize(text: Column, low: int = 1, high: int = 1, lowercase: bool = True, strip: bool = True) -> Column:
-    return ngrams(tokens(text, lowercase, strip), low, high)
+    words = tokens(text, lowercase, strip)
+    # Bound once: inside a lambda the tokens would be made anew for every n-gram.
+    return words if low == high == 1 else F.get(F.transform(F.array(words), lambda w: ngrams(w, low, high)), F.lit(0))
 
 
 #: suffix: (least length of the word, what replaces it); the first that fits counts.
