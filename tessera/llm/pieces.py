@@ -31,6 +31,7 @@ class Pieces:
     """A SentencePiece model; identity normalisation is done here, any other by the library's normaliser."""
 
     CACHE = 300_000
+    PREFIXES = 700_000
 
     def __init__(self, path: str | None = None, proto: bytes | None = None):
         import sentencepiece.sentencepiece_model_pb2 as pb
@@ -64,11 +65,17 @@ class Pieces:
             self.out[i] = bytes([int(p[3:5], 16)])
         self.out[self.unknown] = " ⁇ ".encode()
         self.joins: dict[tuple[str, str], bool] = {}
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.ends: dict[str, str] = {"": ""}
+        self.reach: dict[str, int] = {}
+        for p in self.ids:
+            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         own = self
 
         class Cache(dict):
             def __missing__(self, word: str) -> bytes:
-                ids = np.array([i for p in own.segments(SPACE + word) for i in own.piece_ids(p)], "<u4").tobytes()
+                parts = own.word_path(SPACE + word) if own.bpe and len(word) < 64 else own.segments(SPACE + word)
+                ids = b"".join([own.packed.get(p) or own.pack(p) for p in parts])
                 if len(self) < own.CACHE and len(word) < 64:
                     self[word] = ids
                 return ids
@@ -81,6 +88,32 @@ class Pieces:
             return [i]
         return [self.bytes_[f"<0x{b:02X}>"] for b in piece.encode()] if self.fallback else [self.unknown]
 
+    def pack(self, piece: str) -> bytes:
+        return np.array(self.piece_ids(piece), "<u4").tobytes()
+
+    def word_path(self, word: str) -> list[str]:
+        """`segments` of one word of a BPE model. A lattice begins anew at a word, so the backpointer of a position
+        depends on the word's characters up to there alone, and is kept for all words that begin with them."""
+        ends, ids, reach, n = self.ends, self.ids, self.reach, len(word)
+        if len(ends) > self.PREFIXES:
+            ends.clear()
+            ends[""] = ""
+        known = n
+        while word[:known] not in ends:
+            known -= 1
+        for i in range(known + 1, n + 1):
+            head = word[:i]
+            for j in range(max(0, i - reach.get(head[-3:], 2)), i):  # no piece that ends so is longer
+                piece = head[j:]
+                if (piece in ids or j == i - 1) and self.follows(ends[head[:j]], piece):
+                    ends[head] = piece
+                    break
+        out = []
+        while word:
+            out.append(ends[word])
+            word = word[: -len(out[-1])]
+        return out[::-1]
+
     def merged(self, s: str) -> list[str]:
         """BPE merges of a short string: the best-scored neighbours first, the leftmost of equal ones."""
         parts = list(s)
