@@ -5,12 +5,12 @@ ell k-mers that it puts lowest and keeps them in the order of the text; two text
 candidate pair, which is likelier the smaller their edit distance is. Candidates pass exact lower bounds of the edit
 distance (lengths, word histograms) and are then aligned in a band, so that no text is linked on a sketch alone.
 
-Scale. Equal texts are one class from the start, found by a partially aggregated group-by, however many there are. In a
-bucket every class is compared with the least class only, not with all others; then the others, if they aren't all linked
-to each other yet, go on to further rounds with a new least class, until a round finds no new link. So pairs grow with the number of classes, not with its
-square. Lengths and histograms travel for candidates, texts only for pairs that those bounds leave. Hot buckets and hot
-leaders have small rows that adaptive execution can split. Components come from alternating large-star and small-star
-steps on written tables.
+Scale. Equal texts are one class from the start, found by a partially aggregated group-by, however many there are. All
+classes of a bucket are compared with each other, so every candidate is met and n_links counts all of them; a hot bucket
+is cut into chunks whose meetings are separate, bounded blocks. Lengths and histograms are compared within a block; texts
+travel only for pairs that those bounds leave, once per tile of pairs and not once per pair. The work is the number of
+candidates: the square of a bucket's classes, as is the number of links in a group of near copies. Components come from
+alternating large-star and small-star steps on written tables.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ K, ELL, HASHES = 3, 2, 32
 SHORT, SHORT_HASHES = 24, 16
 SIMILARITY = 0.75
 HISTOGRAM = 256
+#: Classes of a chunk of a bucket, and of a tile of texts to be aligned, on average at most; pairs compared at once.
+CHUNK, TILE, AT_ONCE = 512, 32, 1 << 15
 #: Rows of (class id, 16 bytes) that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,7 +156,10 @@ def _banded(places: dict, m: int, b: list, t: int) -> int | None:
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether 1 - edit distance / longer length, over words, is at least `least`."""
-    x, y = a.split(), b.split()
+    return _near(a.split(), b.split(), least)
+
+
+def _near(x: list, y: list, least: float) -> bool:
     return edit_distance(x, y, int((1 - least) * max(len(x), len(y)) + 1e-9)) is not None
 
 
@@ -197,21 +202,73 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(one, "classes"), made.select("id", "cls")
 
 
-def _bounded(pairs: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose lengths and histograms allow the similarity: exact lower bounds of the edit distance."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("cls").alias(side), F.col("n_words").alias(f"n_{side}"), F.col("histogram").alias(f"h_{side}")), side)
-    most = F.floor((1 - least) * F.greatest("n_a", "n_b") + 1e-9)
-    pairs = pairs.filter(F.abs(F.col("n_a") - F.col("n_b")) <= most).withColumn("most", most)
+def _buckets(one: DataFrame) -> DataFrame:
+    """(key, cls, n) of the buckets of n > 1 classes, as a written table."""
+    keys = one.select("cls", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return written(keys.join(shared, "key").select("key", "cls", "n"), "buckets")
+
+
+def _within(cells: np.ndarray, own: np.ndarray, cls: np.ndarray, n: np.ndarray, hist: np.ndarray, least: float) -> np.ndarray:
+    """(pairs x 2) rows of whole cells, sorted, that the bounds leave: row numbers in order of their classes."""
+    new = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]).any(1)]))
+    end = np.repeat(np.concatenate([new[1:], [len(cells)]]), np.diff(np.concatenate([new, [len(cells)]])))
+    count = end - np.arange(len(cells)) - 1
+    total, out, s = np.concatenate([[0], np.cumsum(count)]), [], 0
+    while s < len(cells):
+        e = max(s + 1, int(np.searchsorted(total, total[s] + AT_ONCE, side="right")) - 1)
+        p = np.repeat(np.arange(s, e), count[s:e])
+        q = p + 1 + np.arange(len(p)) - np.repeat(total[s:e] - total[s], count[s:e])
+        s = e
+        met = (cells[p, 1] == cells[p, 2]) | (own[p] != own[q])  # those of one chunk meet in its own cell
+        p, q = p[met], q[met]
+        most = np.floor((1 - least) * np.maximum(n[p], n[q]) + 1e-9)
+        can = np.abs(n[p] - n[q]) <= most
+        p, q, most = p[can], q[can], most[can]
+        d = hist[p].astype(np.int16) - hist[q]
+        up = np.maximum(d, 0).sum(1, dtype=np.int64)
+        can = np.maximum(up, up - d.sum(1, dtype=np.int64)) <= most
+        p, q = p[can], q[can]
+        swap = (cls[p, 0] > cls[q, 0]) | ((cls[p, 0] == cls[q, 0]) & (cls[p, 1] > cls[q, 1]))
+        out.append(np.stack([np.where(swap, q, p), np.where(swap, p, q)], 1))
+    return np.concatenate(out)
+
+
+def _candidates(buckets: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs (a, b) of classes of one bucket, all with all, whose lengths and histograms allow the
+    similarity: exact lower bounds of the edit distance. Chunks i and j of a bucket meet in cell (i, j)."""
+    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    rows = buckets.withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).join(one.select("cls", "n_words", "histogram"), "cls")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long"), "n_words", "cls", "histogram")
 
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series, most: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        d = np.frombuffer(b"".join(x), np.uint8).reshape(-1, HISTOGRAM).astype(np.int16) - np.frombuffer(b"".join(y), np.uint8).reshape(-1, HISTOGRAM)
-        return pd.Series(np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= most.to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            cells = np.stack([t.column(c).to_numpy() for c in range(3)], 1)
+            name = np.frombuffer(b"".join(t.column(5).to_pylist()), ">u8").reshape(-1, 2)
+            hist = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
+            pairs = _within(cells, t.column(3).to_numpy(), name, t.column(4).to_numpy(), hist, least)
+            for at in range(0, len(pairs), AT_ONCE):
+                sides = [name[pairs[at : at + AT_ONCE, c]] for c in (0, 1)]
+                sides = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in sides]
+                yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            cells = np.stack([t.column(c).to_numpy() for c in range(3)], 1)
+            other = np.flatnonzero((cells != cells[-1:]).any(1)) if len(cells) else np.zeros(0, np.int64)
+            whole = int(other[-1]) + 1 if len(other) else 0  # the last cell may go on
+            if whole:
+                yield from compare(t.slice(0, whole))
+            rest = t.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield from compare(rest)
 
-    return pairs.filter(near("h_a", "h_b", "most")).select("a", "b")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(rows.mapInArrow(run, "a binary, b binary").distinct(), "candidates")
 
 
 def _class_of(text):
@@ -219,25 +276,44 @@ def _class_of(text):
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, as a written table. docs: id and text; ids: cls and its id."""
-    pairs = written(pairs, "candidates")
-    need = written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(ids, "cls").select("cls", F.col("id").alias("_of")), "needed")
+def _verified(pairs: DataFrame, buckets: DataFrame, docs: DataFrame, ids: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, as a written table. docs: id and text; ids: cls and its id.
+
+    Classes with the same least key make tiles; the pairs of two tiles are aligned together, each text sent there once."""
+    home = buckets.groupBy("cls").agg(F.min("key").alias("home"))
+    tiles = home.groupBy("home").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    home = written(home.join(tiles, "home").select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("tiles"))).alias("tile")), "tiles")
+    for side in ("a", "b"):
+        pairs = pairs.join(home.select(F.col("cls").alias(side), F.col("tile").alias(f"t_{side}")), side)
+    pairs = written(pairs.select(F.xxhash64(F.least("t_a", "t_b"), F.greatest("t_a", "t_b")).alias("unit"), "a", "b"), "units")
+    places = written(pairs.select("unit", F.explode(F.array("a", "b")).alias("cls")).distinct(), "places")
+    need = written(places.select("cls").distinct().join(ids, "cls").select("cls", F.col("id").alias("_of")), "needed")
     side = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     texts = docs.join(side, F.col("id").eqNullSafe(F.col("_of"))).filter(_class_of(F.col("text")) == F.col("cls"))
     texts = texts.select("cls", "text").dropDuplicates(["cls"])  # repeated rows
+    rows = places.join(texts, "cls").select("unit", F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
+    rows = rows.unionByName(pairs.select("unit", "a", "b", F.lit(None).cast("string").alias("text")))
 
-    @F.pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similar(x, y, least) for x, y in zip(a, b)], dtype=bool)
-
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("cls").alias(side), F.col("text").alias(f"t_{side}")), side)
-    return written(pairs.filter(check("t_a", "t_b")).select("a", "b"), "links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, words = None, {}
+        for batch in batches:
+            out = []
+            for u, a, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if u != unit:
+                    unit, words = u, {}
+                if b is None:
+                    words[a] = text.split()
+                elif _near(words[a], words[b], least):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in (0, 1)], names=["a", "b"])
+
+    rows = rows.repartition("unit").sortWithinPartitions("unit", F.col("b").isNotNull())
+    return written(rows.mapInArrow(run, "a binary, b binary"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (least id of its class), n_links (verified links of its text), n_copies (rows with its text).
+    """doc_id, class_id (least id of its class), n_links (other texts that share a sketch key with its text and
+    are similar to it, all verified), n_copies (rows with its text).
 
     See `classified`, which adds the text's class and whether that class's rows with class_id stay."""
     return classified(docs, id_col, text_col, least).drop("cls", "keep")
@@ -271,32 +347,12 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     one, members = classes(texts)
-    keys = one.select("cls", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    # A class is its own component until it is linked.
-    open_ = written(keys.join(shared, "key").select("key", "cls", F.col("cls").alias("root")), "buckets")
-    links, roots = None, None
-    while True:
-        lead = open_.groupBy("key").agg(F.min_by("root", "cls").alias("lead_root"), F.min("cls").alias("lead"))
-        pairs = open_.join(lead, "key").filter("root != lead_root").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-        found = _verified(_bounded(pairs, one, least), texts, one.select("cls", "id"), least)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        roots = written(components(links), "roots")
-        now = open_.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        now = written(now.select("key", "cls", "root"), "rooted")
-        # The least class has been compared with all others; these go on if they are of several components.
-        lead = now.groupBy("key").agg(F.min("cls").alias("lead"))
-        rest = now.join(lead, "key").filter("cls != lead").drop("lead")
-        several = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-        open_ = written(rest.join(several, "key").select("key", "cls", "root"), "buckets")
+    buckets = _buckets(one)
+    links = _verified(_candidates(buckets, one, least), buckets, texts, one.select("cls", "id"), least)
     info = one.select("cls", "id", F.col("copies").alias("n_copies"))
-    if links is None:
-        info = info.select("cls", F.col("id").alias("class_id"), F.lit(True).alias("keep"), F.lit(0).cast("long").alias("n_links"), "n_copies")
-    else:
-        count = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-        info = info.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(count, "cls", "left")
-        best = info.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls")).alias("best"))
-        info = info.join(best, "root").select("cls", F.col("best.id").alias("class_id"), (F.col("best.cls") == F.col("cls")).alias("keep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    roots = written(components(links), "roots")
+    count = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    info = info.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(count, "cls", "left")
+    best = info.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls")).alias("best"))
+    info = info.join(best, "root").select("cls", F.col("best.id").alias("class_id"), (F.col("best.cls") == F.col("cls")).alias("keep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     return members.join(info, "cls").select(F.col("id").cast(kind).alias("doc_id"), "cls", "class_id", "keep", "n_links", "n_copies")

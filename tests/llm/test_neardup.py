@@ -1,7 +1,9 @@
+import hashlib
 import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import neardup as nd
 
@@ -109,3 +111,22 @@ def test_a_chain_of_links(spark):
     rows = [(i, " ".join(words[i * 6 : i * 6 + 60]), "x", "y") for i in range(40)]
     got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute([r[:2] for r in rows]) and set(got.values()) == {0}
+
+
+@pytest.mark.parametrize("chunk", [512, 5])
+def test_a_pair_behind_unlike_texts_of_its_bucket(spark, monkeypatch, chunk):
+    """One bucket whose least classes are like nothing, with a similar pair behind them and no other link anywhere."""
+    monkeypatch.setattr(nd, "CHUNK", chunk, raising=False)
+    rng = random.Random(4)
+    text = lambda n: " ".join("u%d" % rng.randrange(10**6) for _ in range(n))
+    texts = sorted((text(100) for _ in range(23)), key=lambda t: hashlib.sha256(t.encode()).digest())
+    pair = text(100)
+    pair = [pair + " " + text(1) for _ in range(200)]
+    pair = [t for t in pair if hashlib.sha256(t.encode()).digest() > hashlib.sha256(texts[2].encode()).digest()][:2]
+    texts += pair
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    one, _ = nd.classes(docs)
+    one = one.withColumn("keys", F.array(F.lit(5).cast("long")))  # one key for all
+    monkeypatch.setattr(nd, "classes", lambda d: (one, docs.select("id", nd._class_of(F.col("text")).alias("cls"))))
+    got = {r.doc_id: r for r in nd.near_duplicates(docs, "id").collect()}
+    assert got[24].class_id == got[23].class_id == 23 and all(got[i].class_id == i for i in range(23))
