@@ -159,8 +159,31 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return _near(a.split(), b.split(), least)
 
 
+#: Words to pass over on both sides where a greedy alignment meets a difference, cheapest first.
+_SHIFTS = sorted(((x, y) for x in range(7) for y in range(7) if x or y), key=lambda s: (max(s), s[0] != s[1], s))
+
+
+def _greedy(a: list, b: list, most: int) -> bool:
+    """Whether a greedy alignment, an upper bound of the distance, has at most `most` edits; False decides nothing."""
+    i = j = d = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for x, y in _SHIFTS:
+            if a[i + x : i + x + 2] == b[j + y : j + y + 2]:
+                break
+        else:
+            x = y = 1
+        i, j, d = i + x, j + y, d + max(x, y)
+        if d > most:
+            return False
+    return d + max(0, len(a) - i) + max(0, len(b) - j) <= most
+
+
 def _near(x: list, y: list, least: float) -> bool:
-    return edit_distance(x, y, int((1 - least) * max(len(x), len(y)) + 1e-9)) is not None
+    most = int((1 - least) * max(len(x), len(y)) + 1e-9)
+    return _greedy(x, y, most) or edit_distance(x, y, most) is not None
 
 
 def components(edges: DataFrame) -> DataFrame:

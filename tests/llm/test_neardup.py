@@ -130,3 +130,30 @@ def test_a_pair_behind_unlike_texts_of_its_bucket(spark, monkeypatch, chunk):
     monkeypatch.setattr(nd, "classes", lambda d: (one, docs.select("id", nd._class_of(F.col("text")).alias("cls"))))
     got = {r.doc_id: r for r in nd.near_duplicates(docs, "id").collect()}
     assert got[24].class_id == got[23].class_id == 23 and all(got[i].class_id == i for i in range(23))
+
+
+def near_copies(rng, words, base, count):
+    """Texts that each differ from the base in a few words."""
+    out = []
+    for _ in range(count):
+        t = base[:]
+        for _ in range(max(1, len(t) // 25)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("chunk, tile", [(512, 32), (3, 2)])
+def test_links_match_all_candidates(spark, monkeypatch, chunk, tile):
+    monkeypatch.setattr(nd, "CHUNK", chunk, raising=False)
+    monkeypatch.setattr(nd, "TILE", tile, raising=False)
+    rng = random.Random(7)
+    words = ["w%d" % i for i in range(2000)]
+    texts = [t for n in (15, 80, 300) for t in near_copies(rng, words, [rng.choice(words) for _ in range(n)], 14)]
+    texts += texts[:5] + [None, "", "!"]
+    got = nd.near_duplicates(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA).repartition(3)).collect()
+    distinct = sorted({t or "" for t in texts})
+    keys = [set(k.tolist()) for k in nd.sketch([t.encode() for t in distinct])[0]]
+    want = {a: sum(x != y and bool(keys[x] & keys[y]) and nd.similar(a, b) for y, b in enumerate(distinct)) for x, a in enumerate(distinct)}
+    assert max(want.values()) > 5
+    assert [want[texts[r.doc_id] or ""] for r in got] == [r.n_links for r in got]
