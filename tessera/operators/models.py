@@ -212,8 +212,9 @@ def knn_predict(queries: DataFrame, train: DataFrame, k: int, query_id: str = "q
     """(query_id, prediction): vote of the k nearest by Euclidean distance over the class weight; a tie is voted again
     with k - 1. Equal distances go by row id.
 
-    Training rows are packed into blocks and met with blocks of queries; each meeting gives at most k rows a query, found
-    by matrix products, and the merge sees only those.
+    Training rows are packed into blocks and met with blocks of queries; each meeting gives at most k rows a query, and the
+    merge sees only those. Matrix products find the rows that may be among them, with a bound of their rounding, so all
+    rows that tie at the cut are compared exactly.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -235,10 +236,14 @@ def knn_predict(queries: DataFrame, train: DataFrame, k: int, query_id: str = "q
             xx = (x * x).sum(1)
             for ids, vs in zip(left.ids, left.vs):
                 y = np.stack(vs).astype(float)
-                d = np.sqrt(np.maximum(xx - 2 * y @ x.T + (y * y).sum(1)[:, None], 0)) / w
-                for i, row in zip(ids, d):
-                    near = np.argpartition(row, min(2 * k, len(row)) - 1)[: 2 * k] if len(row) > 2 * k else np.arange(len(row))
-                    exact = np.sqrt(((x[near] - y[list(ids).index(i)]) ** 2).sum(1)) / w[near]
+                yy = (y * y).sum(1)[:, None]
+                square, slack = xx - 2 * y @ x.T + yy, 8 * (x.shape[1] + 4) * np.finfo(float).eps * (xx + yy)
+                ends = np.sqrt(np.maximum(square - slack, 0)) / w, np.sqrt(np.maximum(square, 0) + slack) / w
+                low, high = np.minimum(*ends), np.maximum(*ends)
+                for i, v, lo, hi in zip(ids, y, low, high):
+                    cut = np.partition(hi, k - 1)[k - 1] if len(hi) > k else np.inf
+                    near = np.flatnonzero(~(lo > cut + 1e-14 * abs(cut)))
+                    exact = np.sqrt(((x[near] - v) ** 2).sum(1)) / w[near]
                     best = np.lexsort((right.id.to_numpy()[near], exact))[:k]
                     out += [(i, float(exact[j]), right.id.iloc[near[j]], float(right.label.iloc[near[j]])) for j in best]
         return pd.DataFrame(out, columns=["query_id", "d", "id", "label"])

@@ -172,6 +172,13 @@ def test_clusters_and_neighbours(spark):
     assert {r.query_id: r.prediction for r in models.knn_predict(q, train, 2).collect()} == {7: 1, 8: 0}  # tied, so k - 1
 
 
+def test_knn_orders_equal_distances_by_id(spark):
+    rows = [(i, [0.1, 0.7, 0.3], float(i < 5)) for i in range(400)][::-1] + [(1000 + i, [9.0 + i, 9.0, 9.0], 0.0) for i in range(50)]
+    train = spark.createDataFrame(rows, "id long, features array<double>, label double").coalesce(1)
+    q = spark.createDataFrame([(7, [0.1, 0.7, 0.3]), (8, [0.2, 0.1, 0.4])], "query_id long, features array<double>")
+    assert {r.query_id: r.prediction for r in models.knn_predict(q, train, 5).collect()} == {7: 1, 8: 1}
+
+
 def test_trees_and_machines(spark):
     df = spark.createDataFrame([(0, 1.0, 1.0, 0.0), (1, 1.0, 2.0, 0.0), (2, 2.0, 1.0, 1.0), (3, 2.0, 2.0, 1.0)], "id long, a double, b double, y double")
     x, y = np.array([[1, 1], [1, 2], [2, 1], [2, 2]]), np.array([0, 0, 1, 1])
