@@ -5,12 +5,14 @@ ell k-mers that it puts lowest and keeps them in the order of the text; two text
 candidate pair, which is likelier the smaller their edit distance is. Candidates pass exact lower bounds of the edit
 distance (lengths, word histograms) and are then aligned in a band, so that no text is linked on a sketch alone.
 
-Scale. Equal texts are one class from the start, found by a partially aggregated group-by, however many there are. All
-classes of a bucket are compared with each other, so every candidate is met and n_links counts all of them; a hot bucket
-is cut into chunks whose meetings are separate, bounded blocks. Lengths and histograms are compared within a block; texts
-travel only for pairs that those bounds leave, once per tile of pairs and not once per pair. The work is the number of
-candidates: the square of a bucket's classes, as is the number of links in a group of near copies. Components come from
-alternating large-star and small-star steps on written tables.
+Scale. Equal texts are one class from the start, found by a partially aggregated group-by, however many there are. Each
+class is first aligned with one leader, the least class of most of its buckets. Then all classes of a bucket are compared
+with all, in the bucket of their first common key, so every candidate is met and n_links counts all of them; a hot bucket
+is cut into chunks whose meetings are separate, bounded blocks. The triangle inequality over a common leader, lengths and
+histograms decide most pairs by array arithmetic without their texts; what they leave is aligned, and texts travel for
+these once per pair of tiles, not once per pair. The work is the number of candidates, as is the number of links in a group
+of near copies; tables hold undecided pairs alone. Components come from alternating large-star and small-star steps on
+written tables, which are deleted when nothing reads them any more.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty, written
+from tessera.llm.common import discard, text_or_empty, written
 from tessera.llm.textbytes import chunks, mix, word_hashes
 
 K, ELL, HASHES = 3, 2, 32
@@ -31,7 +33,7 @@ SHORT, SHORT_HASHES = 24, 16
 SIMILARITY = 0.75
 HISTOGRAM = 256
 #: Classes of a chunk of a bucket, and of a tile of texts to be aligned, on average at most; pairs compared at once.
-CHUNK, TILE, AT_ONCE = 512, 32, 1 << 15
+CHUNK, TILE, AT_ONCE = 2048, 128, 1 << 15
 #: Rows of (class id, 16 bytes) that are broadcast at most; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -197,22 +199,39 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = written(small.filter("a != b").distinct(), "small-star")
-        if new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty():
+        done = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        discard(edges, large)
+        if done:
             return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         edges = new
 
 
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """The rows of a list column as a matrix, filled with 0."""
+    at = lists.offsets.to_numpy()
+    n = np.diff(at)
+    out = np.zeros((len(n), int(n.max(initial=1))), np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(at[0], at[-1]) - np.repeat(at[:-1], n)] = lists.values.to_numpy()[at[0] : at[-1]]
+    return out
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A written row per distinct text (cls, least id, copies, n_words, histogram, keys), and (id, cls) of every row."""
+    """A written row per distinct text (cls, least id, copies, n_words, histogram, keys), and (id, cls) of every row.
+
+    Each hash function has its place in keys; 0 stands where a text has no key."""
     kind = docs.schema["id"].dataType.simpleString()
     rows = docs.select("id", _class_of(F.col("text")).alias("cls"), "text")
+    none = np.zeros(HASHES, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             keys, n, hist = [], [], []
             for part in chunks(b.column(2).to_pylist()):
                 k, w, h = sketch(part)
-                keys += k
+                keys += [x if c >= K else np.concatenate([none, x]) if c else np.ones(1, np.uint64) for x, c in zip(k, w.tolist())]
                 n.append(w)
                 hist += [x.tobytes() for x in h]
             flat = pa.array(np.concatenate(keys).view(np.int64))
@@ -226,57 +245,131 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _buckets(one: DataFrame) -> DataFrame:
-    """(key, cls, n) of the buckets of n > 1 classes, as a written table."""
-    keys = one.select("cls", F.explode(F.array_distinct("keys")).alias("key"))
+    """(key, cls, place, n) of the buckets of n > 1 classes, as a written table; place is that of the key's hash function."""
+    keys = one.select("cls", F.posexplode("keys").alias("place", "key")).filter("key <> 0")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return written(keys.join(shared, "key").select("key", "cls", "n"), "buckets")
-
-
-def _within(cells: np.ndarray, own: np.ndarray, cls: np.ndarray, n: np.ndarray, hist: np.ndarray, least: float) -> np.ndarray:
-    """(pairs x 2) rows of whole cells, sorted, that the bounds leave: row numbers in order of their classes."""
-    new = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]).any(1)]))
-    end = np.repeat(np.concatenate([new[1:], [len(cells)]]), np.diff(np.concatenate([new, [len(cells)]])))
-    count = end - np.arange(len(cells)) - 1
-    total, out, s = np.concatenate([[0], np.cumsum(count)]), [], 0
-    while s < len(cells):
-        e = max(s + 1, int(np.searchsorted(total, total[s] + AT_ONCE, side="right")) - 1)
-        p = np.repeat(np.arange(s, e), count[s:e])
-        q = p + 1 + np.arange(len(p)) - np.repeat(total[s:e] - total[s], count[s:e])
-        s = e
-        met = (cells[p, 1] == cells[p, 2]) | (own[p] != own[q])  # those of one chunk meet in its own cell
-        p, q = p[met], q[met]
-        most = np.floor((1 - least) * np.maximum(n[p], n[q]) + 1e-9)
-        can = np.abs(n[p] - n[q]) <= most
-        p, q, most = p[can], q[can], most[can]
-        d = hist[p].astype(np.int16) - hist[q]
-        up = np.maximum(d, 0).sum(1, dtype=np.int64)
-        can = np.maximum(up, up - d.sum(1, dtype=np.int64)) <= most
-        p, q = p[can], q[can]
-        swap = (cls[p, 0] > cls[q, 0]) | ((cls[p, 0] == cls[q, 0]) & (cls[p, 1] > cls[q, 1]))
-        out.append(np.stack([np.where(swap, q, p), np.where(swap, p, q)], 1))
-    return np.concatenate(out)
-
-
-def _candidates(buckets: DataFrame, one: DataFrame, least: float) -> DataFrame:
-    """The distinct pairs (a, b) of classes of one bucket, all with all, whose lengths and histograms allow the
-    similarity: exact lower bounds of the edit distance. Chunks i and j of a bucket meet in cell (i, j)."""
+    return written(keys.join(shared, "key").select("key", "cls", "place", "n"), "buckets")
+
+
+def _most(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Edits that two texts of n and m words may have."""
+    return np.floor((1 - least) * np.maximum(n, m) + 1e-9)
+
+
+def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lower bounds of the edit distances by word histograms."""
+    d = x.astype(np.int16) - y
+    up = np.maximum(d, 0).sum(1, dtype=np.int64)
+    return np.maximum(up, up - d.sum(1, dtype=np.int64))
+
+
+def _names(x: np.ndarray) -> pa.Array:
+    """Classes, given as two big-endian numbers, as binary values."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(-1, 2)
+
+
+def _leaders(buckets: DataFrame) -> DataFrame:
+    """(cls, leader, tile) of every class that isn't least in all its buckets, as a written table. The leader is the class
+    that is least in most of them; classes of one leader make tiles of TILE on average at most."""
+    least = buckets.groupBy("key").agg(F.min("cls").alias("leader"))
+    pick = buckets.join(least, "key").filter("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("n"))
+    pick = pick.groupBy("cls").agg(F.max(F.struct("n", "leader")).alias("x")).select("cls", "x.leader")
+    size = pick.groupBy("leader").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    return written(pick.join(size, "leader").select("cls", "leader", _tile("leader", F.pmod(F.xxhash64("cls"), F.col("tiles"))).alias("tile")), "leaders")
+
+
+def _tile(leader, part):
+    return F.xxhash64(leader, part.cast("long"))
+
+
+def _can_link(pairs: DataFrame, met: DataFrame, least: float) -> DataFrame:
+    """The pairs (unit, a, b) whose lengths and histograms allow the similarity."""
+    side = lambda s: met.select(F.col("cls").alias(s), F.col("n_words").alias(f"n_{s}"), F.col("histogram").alias(f"h_{s}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("unit", "a", "b", "n_a", "n_b", "h_a", "h_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, HISTOGRAM) for c in (5, 6))
+            n, m = b.column(3).to_numpy(), b.column(4).to_numpy()
+            can = np.maximum(_bound(x, y), np.abs(n - m)) <= _most(n, m, least)
+            yield b.select(["unit", "a", "b"]).filter(pa.array(can))
+
+    return rows.mapInArrow(run, "unit long, a binary, b binary")
+
+
+class _Block:
+    """The columns of rows of whole cells, ready to be compared."""
+
+    def __init__(self, t: pa.Table):
+        self.cells = np.stack([t.column(c).to_numpy() for c in range(3)], 1)
+        self.own, self.place, self.n, self.d, self.tile = (t.column(c).to_numpy() for c in (3, 4, 5, 6, 7))
+        self.cls, self.home = _numbers(t.column(8)), _numbers(t.column(9))
+        self.hist = np.frombuffer(b"".join(t.column(10).to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
+        self.keys = _matrix(t.column(11).combine_chunks())
+
+    def compare(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(undecided pairs of rows, links of each row that need no alignment).
+
+        A pair counts in the bucket of its first common key alone. The distances of two texts to one leader bound theirs
+        from both sides; the bounds of lengths and histograms come next, and what they leave is undecided."""
+        cells = self.cells
+        new = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]).any(1)]))
+        end = np.repeat(np.concatenate([new[1:], [len(cells)]]), np.diff(np.concatenate([new, [len(cells)]])))
+        count = end - np.arange(len(cells)) - 1
+        total, out, links, s = np.concatenate([[0], np.cumsum(count)]), [np.zeros((0, 2), np.int64)], np.zeros(len(cells), np.int64), 0
+        while s < len(cells):
+            e = max(s + 1, int(np.searchsorted(total, total[s] + AT_ONCE, side="right")) - 1)
+            p = np.repeat(np.arange(s, e), count[s:e])
+            q = p + 1 + np.arange(len(p)) - np.repeat(total[s:e] - total[s], count[s:e])
+            s = e
+            met = (cells[p, 1] == cells[p, 2]) | (self.own[p] != self.own[q])  # those of one chunk meet in its own cell
+            p, q = p[met], q[met]
+            most = _most(self.n[p], self.n[q], least)
+            can = np.abs(self.n[p] - self.n[q]) <= most
+            p, q, most = p[can], q[can], most[can]
+            x = self.keys[p]
+            first = ((x == self.keys[q]) & (x != 0)).argmax(1) == self.place[p]
+            p, q, most = p[first], q[first], most[first]
+            one = (self.home[p] == self.home[q]).all(1)
+            near = one & (self.d[p] + self.d[q] <= most)
+            links += np.bincount(p[near], minlength=len(links)) + np.bincount(q[near], minlength=len(links))
+            can = ~near & ~(one & (np.abs(self.d[p] - self.d[q]) > most))
+            p, q, most = p[can], q[can], most[can]
+            can = _bound(self.hist[p], self.hist[q]) <= most
+            p, q = p[can], q[can]
+            swap = (self.cls[p, 0] > self.cls[q, 0]) | ((self.cls[p, 0] == self.cls[q, 0]) & (self.cls[p, 1] > self.cls[q, 1]))
+            out.append(np.stack([np.where(swap, q, p), np.where(swap, p, q)], 1))
+        return np.concatenate(out), links
+
+
+def _compared(buckets: DataFrame, met: DataFrame, least: float) -> DataFrame:
+    """A written table of all classes of a bucket compared with all: undecided pairs (a, b, their tiles), each once, and
+    rows (a, links) of links that need no alignment. Chunks i and j of a bucket meet in cell (i, j)."""
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    rows = buckets.withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).join(one.select("cls", "n_words", "histogram"), "cls")
+    rows = buckets.withColumn("own", F.pmod(F.xxhash64("cls"), parts).cast("int")).join(met, "cls")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), F.col("own").cast("long"), "n_words", "cls", "histogram")
+    long = lambda c: F.col(c).cast("long")
+    rows = rows.select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), long("own"), long("place"), "n_words", long("d"), "tile", "cls", "home", "histogram", "keys")
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["a", "b", "t_a", "t_b", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
         def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            cells = np.stack([t.column(c).to_numpy() for c in range(3)], 1)
-            name = np.frombuffer(b"".join(t.column(5).to_pylist()), ">u8").reshape(-1, 2)
-            hist = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
-            pairs = _within(cells, t.column(3).to_numpy(), name, t.column(4).to_numpy(), hist, least)
+            block = _Block(t)
+            pairs, links = block.compare(least)
             for at in range(0, len(pairs), AT_ONCE):
-                sides = [name[pairs[at : at + AT_ONCE, c]] for c in (0, 1)]
-                sides = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) for x in sides]
-                yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+                a, b = pairs[at : at + AT_ONCE].T
+                yield pa.RecordBatch.from_arrays([_names(block.cls[a]), _names(block.cls[b]), pa.array(block.tile[a]), pa.array(block.tile[b]), pa.nulls(len(a), pa.int64())], names=names)
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([_names(block.cls[some]), *(pa.nulls(len(some), k) for k in kinds[1:4]), pa.array(links[some])], names=names)
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -291,7 +384,7 @@ def _candidates(buckets: DataFrame, one: DataFrame, least: float) -> DataFrame:
             yield from compare(rest)
 
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return written(rows.mapInArrow(run, "a binary, b binary").distinct(), "candidates")
+    return written(rows.mapInArrow(run, "a binary, b binary, t_a long, t_b long, links long"), "compared")
 
 
 def _class_of(text):
@@ -299,21 +392,19 @@ def _class_of(text):
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def _verified(pairs: DataFrame, buckets: DataFrame, docs: DataFrame, ids: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, as a written table. docs: id and text; ids: cls and its id.
-
-    Classes with the same least key make tiles; the pairs of two tiles are aligned together, each text sent there once."""
-    home = buckets.groupBy("cls").agg(F.min("key").alias("home"))
-    tiles = home.groupBy("home").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    home = written(home.join(tiles, "home").select("cls", F.xxhash64("home", F.pmod(F.xxhash64("cls"), F.col("tiles"))).alias("tile")), "tiles")
-    for side in ("a", "b"):
-        pairs = pairs.join(home.select(F.col("cls").alias(side), F.col("tile").alias(f"t_{side}")), side)
-    pairs = written(pairs.select(F.xxhash64(F.least("t_a", "t_b"), F.greatest("t_a", "t_b")).alias("unit"), "a", "b"), "units")
-    places = written(pairs.select("unit", F.explode(F.array("a", "b")).alias("cls")).distinct(), "places")
-    need = written(places.select("cls").distinct().join(ids, "cls").select("cls", F.col("id").alias("_of")), "needed")
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cls, text) of the classes in ids (cls and its id), as a written table. docs: id and text."""
+    need = ids.select("cls", F.col("id").alias("_of"))
     side = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     texts = docs.join(side, F.col("id").eqNullSafe(F.col("_of"))).filter(_class_of(F.col("text")) == F.col("cls"))
-    texts = texts.select("cls", "text").dropDuplicates(["cls"])  # repeated rows
+    return written(texts.select("cls", "text").dropDuplicates(["cls"]), "texts")  # rows may repeat
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, least: float, exact: bool) -> DataFrame:
+    """(a, b, d) of the pairs (unit, a, b) whose texts are similar, as a written table; d is the edit distance if exact.
+
+    A text goes once to each unit that it has a pair in."""
+    places = pairs.select("unit", F.explode(F.array("a", "b")).alias("cls")).distinct()
     rows = places.join(texts, "cls").select("unit", F.col("cls").alias("a"), F.lit(None).cast("binary").alias("b"), "text")
     rows = rows.unionByName(pairs.select("unit", "a", "b", F.lit(None).cast("string").alias("text")))
 
@@ -326,12 +417,37 @@ def _verified(pairs: DataFrame, buckets: DataFrame, docs: DataFrame, ids: DataFr
                     unit, words = u, {}
                 if b is None:
                     words[a] = text.split()
+                elif exact:
+                    x, y = words[a], words[b]
+                    d = edit_distance(x, y, int((1 - least) * max(len(x), len(y)) + 1e-9))
+                    if d is not None:
+                        out.append((a, b, d))
                 elif _near(words[a], words[b], least):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.binary()) for c in (0, 1)], names=["a", "b"])
+                    out.append((a, b, None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], k) for c, k in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "d"])
 
     rows = rows.repartition("unit").sortWithinPartitions("unit", F.col("b").isNotNull())
-    return written(rows.mapInArrow(run, "a binary, b binary"), "links")
+    return written(rows.mapInArrow(run, "a binary, b binary, d long"), "links")
+
+
+def _links(one: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of links that join all classes that verified links join, and (cls, n_links) of all verified links."""
+    buckets = _buckets(one)
+    lead = _leaders(buckets)
+    met = written(one.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "id", "n_words", "histogram", "keys"), "met")
+    texts = _texts(docs, met)
+    to_leader = _can_link(lead.select(F.col("tile").alias("unit"), F.col("leader").alias("a"), F.col("cls").alias("b")), met, least)
+    first = _aligned(written(to_leader, "to-leader"), texts, least, exact=True)
+    known = met.drop("id").join(lead.select("cls", "tile"), "cls", "left").join(first.select(F.col("b").alias("cls"), F.col("a").alias("home"), "d"), "cls", "left")
+    known = known.select("cls", "n_words", "histogram", "keys", F.coalesce("home", "cls").alias("home"), F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("tile", _tile("cls", F.lit(0))).alias("tile"))
+    compared = _compared(buckets, known, least)
+    rest = compared.filter("b is not null").select(F.xxhash64(F.least("t_a", "t_b"), F.greatest("t_a", "t_b")).alias("unit"), "a", "b")
+    more = _aligned(rest, texts, least, exact=False)
+    count = compared.filter("b is null").select(F.col("a").alias("cls"), "links").unionByName(more.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(1).cast("long").alias("links")))
+    count = written(count.groupBy("cls").agg(F.sum("links").alias("n_links")), "link-counts")
+    edges = written(first.select("a", "b").unionByName(more.select("a", "b")), "all-links")
+    discard(buckets, lead, met, texts, first, compared, more)
+    return edges, count
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -370,11 +486,9 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     one, members = classes(texts)
-    buckets = _buckets(one)
-    links = _verified(_candidates(buckets, one, least), buckets, texts, one.select("cls", "id"), least)
+    edges, count = _links(one, texts, least)
     info = one.select("cls", "id", F.col("copies").alias("n_copies"))
-    roots = written(components(links), "roots")
-    count = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    roots = components(edges)
     info = info.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(count, "cls", "left")
     best = info.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "cls")).alias("best"))
     info = info.join(best, "root").select("cls", F.col("best.id").alias("class_id"), (F.col("best.cls") == F.col("cls")).alias("keep"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
