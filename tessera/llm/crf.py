@@ -7,9 +7,13 @@ the number of positions, whether they belong to many short sequences or one very
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 BLOCK = 128
+#: Positions and features that training takes at once: bounds its memory, changes nothing else.
+SLICE = 1 << 16
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -67,8 +71,8 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, trans: np.ndarray, in
     starts = np.asarray(starts, bool)
     at = np.flatnonzero(~starts)
     total = np.zeros((k, k))
-    for s in range(0, len(at), 1 << 17):
-        i = at[s : s + (1 << 17)]
+    for s in range(0, len(at), 1 << 14):
+        i = at[s : s + (1 << 14)]
         xi = alpha[i - 1][:, :, None] * a * (psi.reshape(-1, k)[i] * beta[i])[:, None, :]
         total += (xi / xi.sum((1, 2), keepdims=True)).sum(0)
     return marginals, total, marginals[starts].sum(0)
@@ -125,23 +129,44 @@ def train(types: np.ndarray, index: np.ndarray, counts: np.ndarray, width: int,
 
     types: each position's type; a type has counts[type] > 0 features, their weights' rows end to end in index.
     """
-    first_of = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    first_of = np.concatenate([[0], np.cumsum(counts)])
     scale = 1 / np.sqrt(counts)
     w, trans, init = np.zeros((width, labels)), np.zeros((labels, labels)), np.zeros(labels)
     steps = [Adam(w.shape, rate), Adam(trans.shape, rate), Adam(init.shape, rate)]
     n = len(types)
+    heads = np.append(np.flatnonzero(starts), n)
+    parts = [(int(a), int(b)) for a, b in _slices(heads)]  # whole sequences
+    kinds = list(_slices(first_of, of=np.arange(len(first_of))))  # whole types
     inner = np.flatnonzero(~starts)
-    seen_pairs = np.bincount(gold[inner - 1] * labels + gold[inner], minlength=labels * labels).reshape(labels, labels)
+    seen_pairs = np.bincount(gold[inner - 1].astype(np.int64) * labels + gold[inner], minlength=labels * labels).reshape(labels, labels)
     seen_first = np.bincount(gold[starts], minlength=labels)
-    seen = np.zeros((n, labels))
-    seen[np.arange(n), gold] = 1
+    emit, per_type = np.empty((len(counts), labels)), np.empty((len(counts), labels))
     for _ in range(rounds):
-        emit = np.add.reduceat(w[index], first_of, axis=0) * scale[:, None]
-        marginals, pairs, first = forward_backward(emit[types], starts, trans, init, pairs=True)
-        diff = seen - marginals
-        per_type = np.stack([np.bincount(types, diff[:, k], len(counts)) for k in range(labels)], 1) * scale[:, None]
-        g = np.stack([np.bincount(index, np.repeat(per_type[:, k], counts), width) for k in range(labels)], 1)
+        for a, b in kinds:
+            emit[a:b] = np.add.reduceat(w[index[first_of[a] : first_of[b]]], first_of[a:b] - first_of[a], axis=0) * scale[a:b, None]
+        per_type[:], pairs, first = 0, 0, 0
+        for a, b in parts:
+            diff, own_pairs, own_first = forward_backward(emit[types[a:b]], starts[a:b], trans, init, pairs=True)
+            diff *= -1
+            diff[np.arange(b - a), gold[a:b]] += 1
+            for k in range(labels):
+                per_type[:, k] += np.bincount(types[a:b], diff[:, k], len(counts))
+            pairs, first = pairs + own_pairs, first + own_first
+        per_type *= scale[:, None]
+        g = np.zeros((width, labels))
+        for a, b in kinds:
+            for k in range(labels):
+                g[:, k] += np.bincount(index[first_of[a] : first_of[b]], np.repeat(per_type[a:b, k], counts[a:b]), width)
         w += steps[0].step(g / n - l2 * w)
         trans += steps[1].step((seen_pairs - pairs) / n)
         init += steps[2].step((seen_first - first) / max(1, int(starts.sum())))
     return w, trans, init
+
+
+def _slices(edges: np.ndarray, of: np.ndarray | None = None, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Stretches of about `size` between edges, or of the numbers at these places."""
+    of, s = edges if of is None else of, 0
+    while s < len(edges) - 1:
+        e = max(s + 1, int(np.searchsorted(edges, edges[s] + size, side="right")) - 1)
+        yield of[s], of[e]
+        s = e

@@ -162,17 +162,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labels = sorted({r.lang for r in rows})
     if not labels:
         return Model([UNKNOWN], np.zeros((WIDTH, 1)), np.zeros((1, 1)), np.zeros(1))
-    texts = [r.words.split(" ") for r in rows]
     at: dict[str, int] = {}
-    types = np.array([at.setdefault(w, len(at)) for t in texts for w in t])
+    types = np.fromiter((at.setdefault(w, len(at)) for r in rows for w in r.words.split(" ")), np.int32)
+    lengths = np.array([r.words.count(" ") + 1 for r in rows])
+    gold = np.repeat(np.array([labels.index(r.lang) for r in rows], np.int8), lengths)
+    starts = starts_of(lengths)
+    del rows
     counts = np.zeros(len(at), np.int64)
-    slots = list(word_features(list(at)))
+    words = list(at)
+    slots = list(word_features(words))
     for positions, f in slots:
         counts[positions] = f.shape[1]
-    order = np.argsort(np.concatenate([np.repeat(positions, f.shape[1]) for positions, f in slots]), kind="stable")
-    index = np.concatenate([f.ravel() for _, f in slots])[order]
-    gold = np.repeat([labels.index(r.lang) for r in rows], [len(t) for t in texts])
-    starts = starts_of(np.array([len(t) for t in texts]))
+    index, first = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+    for positions, f in slots:
+        index[first[positions][:, None] + np.arange(f.shape[1])] = f
+    del slots, words, at
     w, trans, init = train(types, index, counts, WIDTH, gold, starts, len(labels), rounds)
     return Model(labels, w, trans, init)
 
