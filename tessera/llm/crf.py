@@ -103,6 +103,23 @@ def forward_backward_padded(emit: np.ndarray, lengths: np.ndarray, trans: np.nda
     return m, total, m[:, 0].sum(0)
 
 
+def best_paths(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, init: np.ndarray) -> np.ndarray:
+    """The likeliest labels (rows x positions) of sequences in rows, by Viterbi; 0 past a length."""
+    n, t, k = emit.shape
+    back, v = np.zeros((t, n, k), np.int8), init + emit[:, 0].astype(np.float64)
+    every, to = np.arange(n), trans.T.astype(np.float64)
+    for i in range(1, t):
+        x = v[:, None, :] + to
+        back[i] = x.argmax(2)
+        v = np.where((i < lengths)[:, None], x.max(2) + emit[:, i], v)
+    out, at = np.zeros((n, t), np.int64), v.argmax(1)
+    for i in range(t - 1, -1, -1):
+        inside = i < lengths
+        out[inside, i] = at[inside]
+        at = np.where(inside, back[i][every, at], at)
+    return out
+
+
 class Adam:
     """Gradient ascent with per-weight step sizes."""
 

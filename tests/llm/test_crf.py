@@ -46,3 +46,39 @@ def test_training_learns_transitions():
     emit = np.stack([w[0], w[1]])[types]
     m = crf.forward_backward(emit, starts, trans, init)
     assert (m.argmax(1) == gold).mean() > 0.9 > 0.8 > (types == gold).mean()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_paths(seed):
+    rng = np.random.default_rng(seed)
+    k, lengths = 3, rng.integers(1, 7, 6)
+    emit, trans, init = rng.normal(size=(6, 6, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    got = crf.best_paths(emit, lengths, trans, init)
+    for r, n in enumerate(lengths):
+        score = lambda y: init[y[0]] + sum(emit[r, i, c] for i, c in enumerate(y)) + sum(trans[a, b] for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        assert tuple(got[r, :n]) == max(itertools.product(range(k), repeat=int(n)), key=score) and not got[r, n:].any()
+
+
+@pytest.mark.parametrize("lengths", [[700], [127, 1, 128, 129, 300], [5] * 100])
+def test_across_block_borders(lengths):
+    """Against the plain recursion in logarithms."""
+    rng = np.random.default_rng(3)
+    k, n = 4, sum(lengths)
+    emit, trans, init = rng.normal(size=(n, k)) * 2, rng.normal(size=(k, k)), rng.normal(size=k)
+    got, pairs, first = crf.forward_backward(emit, crf.starts_of(np.array(lengths)), trans, init, pairs=True)
+    at, all_pairs, all_first = 0, np.zeros((k, k)), np.zeros(k)
+    for m in lengths:
+        e = emit[at : at + m]
+        a, b = np.empty((m, k)), np.zeros((m, k))
+        a[0] = init + e[0]
+        for i in range(1, m):
+            a[i] = np.logaddexp.reduce(a[i - 1][:, None] + trans, axis=0) + e[i]
+        for i in range(m - 2, -1, -1):
+            b[i] = np.logaddexp.reduce(trans + e[i + 1] + b[i + 1], axis=1)
+        z = np.logaddexp.reduce(a[-1])
+        assert np.allclose(np.exp(a + b - z), got[at : at + m])
+        all_first += np.exp(a[0] + b[0] - z)
+        for i in range(1, m):
+            all_pairs += np.exp(a[i - 1][:, None] + trans + e[i] + b[i] - z)
+        at += m
+    assert np.allclose(pairs, all_pairs) and np.allclose(first, all_first)
