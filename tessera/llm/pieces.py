@@ -7,13 +7,15 @@ boundary, the ids before it are committed and forgotten. So memory is bounded by
 Unigram models take the path of the greatest summed score. BPE models have no additive score, but the same lattice gives
 exactly the ids that the merges give: a piece may follow another only if merging their concatenation yields these two,
 and then each position has just one last piece. Where no piece holds a word boundary inside, which is known from the
-model, paths converge at every word, and words are encoded apart with a bounded cache that affects speed alone.
+model, paths converge at every word; what the lattice commits for a word is kept in a bounded cache, which affects speed
+alone: no id comes from anywhere but the lattice.
 
 Scale: a map over whole texts without a shuffle; the model file is read once per task.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,13 +27,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import map_texts, text_or_empty
 
 SPACE = "▁"
+#: A word with the marks before it, or the marks that end a text.
+WORD = re.compile("▁*[^▁]+|▁+")
 
 
 class Pieces:
     """A SentencePiece model; identity normalisation is done here, any other by the library's normaliser."""
 
-    CACHE = 300_000
-    PREFIXES = 700_000
+    #: Words and beginnings of words whose ids and backpointers are kept, and their greatest length: they affect speed alone.
+    CACHE, PREFIXES, KEPT = 450_000, 700_000, 64
 
     def __init__(self, path: str | None = None, proto: bytes | None = None):
         import sentencepiece.sentencepiece_model_pb2 as pb
@@ -66,17 +70,17 @@ class Pieces:
         self.out[self.unknown] = " ⁇ ".encode()
         self.joins: dict[tuple[str, str], bool] = {}
         self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
-        self.ends: dict[str, str] = {"": ""}
-        self.reach: dict[str, int] = {}
+        self.ends: dict[str, str] = {}
+        lengths: dict[str, set[int]] = {}
         for p in self.ids:
-            self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
+            lengths.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.spans = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
         own = self
 
         class Cache(dict):
             def __missing__(self, word: str) -> bytes:
-                parts = own.word_path(SPACE + word) if own.bpe and len(word) < 64 else own.segments(SPACE + word)
-                ids = b"".join([own.packed.get(p) or own.pack(p) for p in parts])
-                if len(self) < own.CACHE and len(word) < 64:
+                ids = b"".join([own.packed.get(p) or own.pack(p) for p in own.segments(word)])
+                if len(self) < own.CACHE and len(word) < own.KEPT:
                     self[word] = ids
                 return ids
 
@@ -91,29 +95,6 @@ class Pieces:
     def pack(self, piece: str) -> bytes:
         return np.array(self.piece_ids(piece), "<u4").tobytes()
 
-    def word_path(self, word: str) -> list[str]:
-        """`segments` of one word of a BPE model. A lattice begins anew at a word, so the backpointer of a position
-        depends on the word's characters up to there alone, and is kept for all words that begin with them."""
-        ends, ids, reach, n = self.ends, self.ids, self.reach, len(word)
-        if len(ends) > self.PREFIXES:
-            ends.clear()
-            ends[""] = ""
-        known = n
-        while word[:known] not in ends:
-            known -= 1
-        for i in range(known + 1, n + 1):
-            head = word[:i]
-            for j in range(max(0, i - reach.get(head[-3:], 2)), i):  # no piece that ends so is longer
-                piece = head[j:]
-                if (piece in ids or j == i - 1) and self.follows(ends[head[:j]], piece):
-                    ends[head] = piece
-                    break
-        out = []
-        while word:
-            out.append(ends[word])
-            word = word[: -len(out[-1])]
-        return out[::-1]
-
     def merged(self, s: str) -> list[str]:
         """BPE merges of a short string: the best-scored neighbours first, the leftmost of equal ones."""
         parts = list(s)
@@ -138,56 +119,126 @@ class Pieces:
         return known
 
     def segments(self, text, window: list | None = None) -> Iterator[str]:
-        """Pieces of normalised text (an iterable of characters), committed as soon as all paths agree. window: gets the
-        number of retained characters at each commit."""
-        ids, scores, most, bpe = self.ids, self.scores, self.longest, self.bpe
-        held, best, back, last = "", [0.0], [0], [""]
+        """Pieces of normalised text (an iterable of characters), committed as soon as all paths agree: where a word
+        begins, if no piece holds such a place, and wherever all backpointers of the last `longest` positions lead to one
+        boundary. window: gets the number of retained characters at each commit.
+
+        A position of a BPE lattice has one last piece, so that is its backpointer."""
+        return self._bpe(text, window) if self.bpe else self._unigram(text, window)
+
+    def _bpe(self, text, window: list | None) -> Iterator[str]:
+        """`segments` of a BPE model. What a lattice that begins anew has at a position depends on the characters since
+        alone; the pieces at beginnings of words are kept, and a string goes on from the longest one known."""
+        ids, most, spans, ends, joins, apart = self.ids, self.longest, self.spans, self.ends, self.joins, self.apart
+        if len(ends) > self.PREFIXES:
+            ends.clear()
+        held, last, fresh = "", [""], True
+        if isinstance(text, str):
+            known = min(len(text), self.KEPT)
+            while known and text[:known] not in ends:
+                known -= 1
+            held, text = text[:known], text[known:]
+            last += [None] * known  # looked up where they are needed
+        for c in text:
+            if c == SPACE and apart and held and held[-1] != SPACE:
+                if window is not None:
+                    window.append(len(held))
+                yield from self._path(last, held)
+                held, last, fresh = "", [""], True
+            held += c
+            piece = ends.get(held) if fresh else None
+            if piece is None:
+                i = len(held)
+                for n in spans.get(held[-3:], (2, 1)):  # lengths of pieces that end so
+                    if n > i:
+                        continue
+                    s = held[-n:]
+                    if n == 1 or s in ids:
+                        j = i - n
+                        before = last[j]
+                        if before is None:
+                            before = last[j] = ends[held[:j]]
+                        fits = joins.get((before, s))
+                        if fits or (fits is None and self.follows(before, s)):
+                            piece = s
+                            break
+                if fresh and i < self.KEPT:
+                    ends[held] = piece
+            last.append(piece)
+            i = len(last) - 1
+            if i >= most and i % most == 0:
+                last = [ends[held[:j]] if x is None else x for j, x in enumerate(last)]
+                at = self._agreed(i, [j - len(x) for j, x in enumerate(last)])
+                if at:
+                    if window is not None:
+                        window.append(i)
+                    yield from self._path(last[: at + 1], held)
+                    held, last, fresh = held[at:], last[at:], False
+        if window is not None:
+            window.append(len(held))
+        yield from self._path(last, held)
+
+    def _unigram(self, text, window: list | None) -> Iterator[str]:
+        """`segments` of a unigram model."""
+        ids, scores, most, spans, apart = self.ids, self.scores, self.longest, self.spans, self.apart
+        held, best, last = "", [0.0], [""]
         for c in text:
+            if c == SPACE and apart and held and held[-1] != SPACE:
+                if window is not None:
+                    window.append(len(held))
+                yield from self._path(last, held)
+                held, best, last = "", [0.0], [""]
             held += c
             i = len(held)
-            top, start, piece = None, -1, ""
-            for j in range(max(0, i - most), i):
-                s = held[j:]
+            top, piece = None, ""
+            for n in spans.get(held[-3:], (2, 1)):
+                if n > i:
+                    continue
+                s = held[-n:]
                 k = ids.get(s)
-                if (k is None and j < i - 1) or best[j] is None:
+                if k is None and n > 1:
                     continue
-                if bpe:
-                    if self.follows(last[j], s):
-                        top, start, piece = 0.0, j, s
-                        break
-                else:
-                    score = best[j] + (self.least if k is None else scores[k])
-                    if top is None or score > top:
-                        top, start, piece = score, j, s
+                score = best[i - n] + (self.least if k is None else scores[k])
+                if top is None or score > top:
+                    top, piece = score, s
             best.append(top)
-            back.append(start)
             last.append(piece)
-            if i % most == 0:
-                open_ = {j for j in range(max(0, i + 1 - most), i + 1) if best[j] is not None}
-                while len(open_) > 1:
-                    j = max(open_)
-                    open_.remove(j)
-                    open_.add(back[j])
-                at = open_.pop() if open_ else 0
+            if i >= most and i % most == 0:
+                at = self._agreed(i, [j - len(x) for j, x in enumerate(last)])
                 if at:
                     if window is not None:
                         window.append(i)
-                    yield from self._path(at, back, last)
-                    low = best[at] or 0.0
-                    held, back, last = held[at:], [max(0, j - at) for j in back[at:]], last[at:]
-                    best = [None if b is None else b - low for b in best[at:]]
+                    yield from self._path(last[: at + 1], held)
+                    held, last = held[at:], last[at:]
+                    best = [b - best[at] for b in best[at:]]
         if window is not None:
             window.append(len(held))
-        yield from self._path(len(held), back, last)
-
-    @staticmethod
-    def _path(at: int, back: list[int], last: list[str]) -> list[str]:
-        out = []
+        yield from self._path(last, held)
+
+    def _agreed(self, i: int, back: list[int]) -> int:
+        """The one boundary to which the backpointers of all positions that may begin a further piece lead."""
+        open_ = set(range(max(0, i + 1 - self.longest), i + 1))
+        while len(open_) > 1:
+            j = max(open_)
+            open_.remove(j)
+            open_.add(back[j])
+        return open_.pop()
+
+    def _path(self, last: list[str | None], held: str) -> list[str]:
+        """The pieces on the way to the last position; None stands for a kept one."""
+        at, out = len(last) - 1, []
         while at:
-            out.append(last[at])
-            at = back[at]
+            out.append(last[at] or self.ends[held[:at]])
+            at -= len(out[-1])
         return out[::-1]
 
+    def stream(self, text) -> Iterator[bytes]:
+        """Ids of normalised text (an iterable of characters) as little-endian 32-bit bytes, piece by piece as they are
+        committed; neither the text nor the ids are held."""
+        packed = self.packed
+        for p in self.segments(text):
+            yield packed.get(p) or self.pack(p)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
         if not text:
@@ -196,9 +247,10 @@ class Pieces:
             text = self.normalizer(text)
         elif self.prefix:
             text = " " + text
-        if self.apart and "  " not in text and SPACE not in text and text[:1] in " ▁" and self.normalizer is None:
-            return b"".join(map(self.cache.__getitem__, text[1:].split(" ")))
-        return np.array([i for p in self.segments(text.replace(" ", SPACE)) for i in self.piece_ids(p)], "<u4").tobytes()
+        text = text.replace(" ", SPACE)
+        if self.apart:  # every word's ids are what the lattice gave for it, now or before
+            return b"".join(map(self.cache.__getitem__, WORD.findall(text)))
+        return b"".join(self.stream(text))
 
     def decode(self, data: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""

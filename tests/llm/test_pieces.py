@@ -54,6 +54,37 @@ def test_the_window_stays_bounded(kind, unigram):
     assert len(window) > len(text) / (8 * mine.longest) and max(window) <= 8 * mine.longest
 
 
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_every_id_comes_from_the_lattice(kind, unigram, monkeypatch):
+    mine = p.Pieces(PATH) if kind == "bpe" else p.Pieces(proto=unigram)
+    made, inner = {}, mine.segments
+    monkeypatch.setattr(mine, "segments", lambda t, window=None: made.setdefault(t, list(inner(t, window))))
+    lib = sentencepiece.SentencePieceProcessor(**({"model_file": PATH} if kind == "bpe" else {"model_proto": unigram}))
+    for t in TEXTS + random_texts(200):
+        words = p.WORD.findall((" " + t if t else t).replace(" ", p.SPACE))
+        assert memoryview(mine.encode(t)).cast("I").tolist() == lib.encode(t) if t else True
+        assert sum(len(mine.piece_ids(x)) for w in words for x in made[w]) == len(lib.encode(t))  # each from the lattice
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram"])
+def test_a_million_characters(kind, unigram):
+    """Streamed from an iterator and encoded at once: the library's ids, the window bounded however long the text."""
+    mine = p.Pieces(PATH) if kind == "bpe" else p.Pieces(proto=unigram)
+    lib = sentencepiece.SentencePieceProcessor(**({"model_file": PATH} if kind == "bpe" else {"model_proto": unigram}))
+    rng = random.Random(5)
+    for alphabet, n in (("etaoin shrdlu", 1_000_000), ("abcdefghij", 100_000)):
+        text = "".join(rng.choices(alphabet, k=n))
+        want, got = lib.encode(text), memoryview(mine.encode(text)).cast("I").tolist()
+        if kind == "bpe":
+            assert got == want
+        else:  # the library sums 32-bit scores over the whole text
+            assert mine.decode(mine.encode(text)) == text and sum(mine.scores[i] for i in got) >= sum(mine.scores[i] for i in want) - 1e-6
+        window = []
+        assert [i for x in mine.segments(iter((" " + text).replace(" ", p.SPACE)), window) for i in mine.piece_ids(x)] == got
+        assert max(window) <= 8 * mine.longest
+        assert b"".join(mine.stream(iter((" " + text).replace(" ", p.SPACE)))) == mine.encode(text)
+
+
 def test_columns(spark):
     rows = [(i, t, "x") for i, t in enumerate([None, *TEXTS, "has ▁ mark"])] + [(1, "", "x"), (None, "a", "x")]
     df = spark.createDataFrame(rows, SCHEMA)
