@@ -10,14 +10,16 @@ and then each position has just one last piece. Where no piece holds a word boun
 model, paths converge at every word; what the lattice commits for a word is kept in a bounded cache, which affects speed
 alone: no id comes from anywhere but the lattice.
 
-Scale: a map over whole texts without a shuffle; the model file is read once per task.
+Scale: a map over whole texts without a shuffle; the model file is read once per Python worker.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -258,6 +260,16 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+@lru_cache(1)
+def _loaded(path: str, changed: int) -> Pieces:
+    """A model with its caches, kept for further tasks of the same Python worker."""
+    return Pieces(path)
+
+
+def load(path: str) -> Pieces:
+    return _loaded(path, os.stat(path).st_mtime_ns)
+
+
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids, ids_crc32 (of little-endian unsigned 32-bit ids), round_trip (decoding gives the text).
 
@@ -268,7 +280,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     names = ["doc_id", "n_ids", "ids", "ids_crc32", "round_trip"]
 
     def start():
-        pieces = Pieces(model)
+        pieces = load(model)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = b.column(1).to_pylist()
@@ -289,7 +301,7 @@ def decode_ids(rows: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     kind = rows.schema[id_col].dataType.simpleString()
 
     def start():
-        pieces = Pieces(model)
+        pieces = load(model)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [pieces.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()]
