@@ -142,7 +142,7 @@ def _weighed(a: Column) -> Column:
     return F.aggregate(F.transform(a, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
 
 
-_POLY = {"added": "(w+1) + 2*(x+2) + 3*(y+3) + 4*1", "subtracted": "(w-1) + 2*(x-2) + 3*(y-3) + 4*1", "multiplied": "w + 2*(2*w+x) + 3*(3*w+2*x+y) + 4*(3*x+2*y+1) + 5*(3*y+2) + 6*3", "degree": "3", "odd": "x + 1", "even": "w + y", "low": "w", "middle": "w + 1.5", "high": "w + 4", "xopt": "-x / 6", "fopt": "w - x*x/12", "xifl": "-y / 3", "chebyshev": "w + x*0.3 + y*(2*0.3*0.3-1) + 4*0.3*0.3*0.3-3*0.3", "through": "1 - w + 2*w*w", "with_slope": "2 + w*w"}
+_POLY = {"added": "(w+1) + 2*(x+2) + 3*(y+3) + 4*1", "subtracted": "(w-1) + 2*(x-2) + 3*(y-3) + 4*1", "multiplied": "w + 2*(2*w+x) + 3*(3*w+2*x+y) + 4*(3*x+2*y+1) + 5*(3*y+2) + 6*3", "degree": "3", "odd": "x + 1", "even": "w + y", "low": "w", "middle": "w + 1.5", "high": "w + 4", "xopt": "-x / 7.4", "fopt": "w - x*x/14.8", "xifl": "-y / 3", "chebyshev": "w + x*0.3 + y*(2*0.3*0.3-1) + 4*0.3*0.3*0.3-3*0.3", "through": "1 - w + 2*w*w", "with_slope": "2 + w*w"}
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {_columns(_POLY, 5)} {_LINES}")
@@ -151,7 +151,7 @@ def polynomial_algebra(spark, sf_dir):
     a, b = F.array("w", "x", "y", F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
     r, s = w + 1.5, w + 4
     roots = u.solve_cubic(F.lit(1.0), -(w + r + s), w * r + w * s + r * s, -w * r * s)
-    top = u.quadratic_optimum(F.array("w", "x", F.lit(3.0)))
+    top = u.quadratic_optimum(F.array("w", "x", F.lit(3.7)))
     line = F.array(*(F.lit(c) for c in u.fit_points([0.0, 1.0, 2.0], [1.0, 2.0, 7.0])))
     bent = F.array(*(F.lit(c) for c in u.fit_points([0.0, 1.0], [2.0, 3.0], 1.0, 2.0)))
     out = {"added": _weighed(u.add(a, b)), "subtracted": _weighed(u.subtract(a, b)), "multiplied": _weighed(u.multiply(a, b)), "degree": u.degree(a), "odd": u.sum_odd(a), "even": u.sum_even(a), "low": roots[0], "middle": roots[1], "high": roots[2], "xopt": top["xopt"], "fopt": top["fopt"], "xifl": u.cubic_critical(a)["xifl"], "chebyshev": scalars.chebyshev(a, F.lit(0.3)), "through": u.evaluate(line, w), "with_slope": u.evaluate(bent, w)}
