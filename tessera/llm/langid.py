@@ -131,7 +131,7 @@ def identify(model: Model, emissions: Emissions, texts: list[str]) -> tuple[list
     for text in texts:
         todo.append(words_of(text))
         size += len(todo[-1])
-        if size > 400_000:
+        if size > 150_000:
             flush()
             size = 0
     if todo:
