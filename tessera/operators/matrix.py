@@ -259,7 +259,7 @@ def cholesky(a) -> np.ndarray:
     out = np.zeros_like(a)
     for j in range(len(a)):
         d = a[j, j] - out[j, :j] @ out[j, :j]
-        if d <= 0:
+        if not d > 0:  # also NaN
             raise NotPositiveDefinite(f"pivot {j} isn't positive")
         out[j, j] = np.sqrt(d)
         out[j + 1 :, j] = (a[j + 1 :, j] - out[j + 1 :, :j] @ out[j, :j]) / out[j, j]
