@@ -3,15 +3,15 @@
 The base spans are exact pattern matches with checks. The network, trained in numpy from labelled spans, adds what the
 patterns miss: phone numbers without a country code, cards in other groupings, repeated or after other numbers, addresses
 with blanks around the sign, and secrets (keys, tokens and passwords), a fifth kind. It tags overlapping windows, whose
-scores are averaged with weights that favour a window's middle; one best path through the CRF then runs over a whole
-stretch. An added span must be likely, end at word ends, pass the checks of its kind (as base spans must) and touch no
-base span.
+scores are averaged with weights that favour a window's middle; one best path through the CRF then runs over the whole
+text. An added span must be likely, end at word ends, pass the checks of its kind (as base spans must) and touch no base
+span.
 
-A span of any kind holds a digit, an at sign or an equals sign, so a text is tagged where it has these, with `AROUND`
-characters and whole words on both sides: tagging everything gives the same spans at hundreds of times the cost.
+Every window of every text goes through the network. The path is worked out where scores leave room for a span: bounds
+on what any span could gain over none prove that the rest has none, and that it changes no path.
 
 Scale: fitting reads a bounded sample (`max_docs` documents, 3 snippets of each); tagging is a map over whole texts with
-no shuffle, whose cost follows the text's digits rather than its length.
+no shuffle, linear in their length, with some thousand texts' characters (`AT_ONCE`) or one longer text in memory.
 """
 
 from __future__ import annotations
@@ -43,6 +43,12 @@ TRIGGER = re.compile(r"[0-9@=]+")
 TAGS = 1 + 2 * len(ALL_KINDS)
 CHARS = 100
 WINDOW, STRIDE, AROUND = 96, 48, 40
+#: Characters and windows taken at once. They bound memory and change no result.
+AT_ONCE, ROWS = 1 << 18, 1024
+#: Characters on both sides of a span that its probability is worked out with: farther ones don't tell in it.
+CONTEXT = 2 * WINDOW
+#: Room for rounding in the bounds of a span's gain.
+ROUNDING = 1e-2
 #: Least mean probability of an added span's tags.
 SURE = 0.8
 Span = tuple[str, int, int]
@@ -239,6 +245,9 @@ def _number(rng: random.Random, kind: str) -> tuple[str, list[Span]]:
     elif kind == "phone":
         x, y, z = d(3), d(3), d(4)
         s = rng.choice([f"+{rng.randint(1, 99)} ({x}) {y}-{z}", f"+1 {x} {y} {z}", f"({x}) {y}-{z}", f"{x}-{y}-{z}", f"{x}.{y}.{z}", f"({x}) {y} {z}", f"00{rng.randint(1, 99)} {x} {y} {z}"])
+        if rng.random() < 0.3:  # in a list
+            gap = rng.choice([" ", ", ", " / ", " or ", f" {d(3, 'abcdefghijklmnopqrstuvwxyz')} ", f", {word()} "])
+            return s + gap + s, [(kind, 0, len(s)), (kind, len(s) + len(gap), 2 * len(s) + len(gap))]
     else:
         mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
         s = rng.choice([d(40, "0123456789abcdef"), d(40, "0123456789abcdef"), d(32, "0123456789abcdef"), "AKIA" + d(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), d(rng.randint(16, 40), mixed), d(rng.randint(10, 20), mixed), "sk_live_" + d(24, mixed)])
@@ -330,7 +339,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text around digits, at and equals signs, merged where they meet. A part ends where a word does, and
+    """The parts of a text around digits, at and equals signs, where most spans are, merged where they meet; tagging takes
+    the whole text. A part ends where a word does, and
     holds the whole words on both sides of its at signs, whatever their length. Linear in the text."""
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
@@ -361,47 +371,162 @@ def stretches(text: str) -> list[tuple[int, int]]:
 _WEIGHT = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
 
 
-def tag(model: Model, parts: list[str]) -> list[list[tuple[str, int, int, float]]]:
-    """Spans of each stretch (kind, start, end, mean probability): windows' emissions averaged, then one best path."""
-    windows, owner = [], []
-    for i, p in enumerate(parts):
-        x = encode(p)
-        for at in range(0, max(1, len(x) - (WINDOW - STRIDE)), STRIDE):
-            w = np.full(WINDOW, 99, np.int64)
-            w[: len(x[at : at + WINDOW])] = x[at : at + WINDOW]
-            windows.append(w)
-            owner.append((i, at))
-    emits: list[np.ndarray] = [np.zeros((len(p) + WINDOW, TAGS), np.float32) for p in parts]
-    weights = [np.zeros(len(p) + WINDOW, np.float32) for p in parts]
-    for s in range(0, len(windows), 1024):
-        e = run_lstm(model, np.stack(windows[s : s + 1024]))
-        for (i, at), row in zip(owner[s : s + 1024], e):
-            emits[i][at : at + WINDOW] += row * _WEIGHT[:, None]
-            weights[i][at : at + WINDOW] += _WEIGHT
-    out: list[list] = [[] for _ in parts]
-    order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+def window_scores(model: Model, x: np.ndarray) -> np.ndarray:
+    """Emissions (tags x positions x rows) as `run_lstm` gives them, in fewer and longer steps: a sigmoid is a tanh of the
+    half, so all gates go through one call; cells and outputs are kept doubled, which rounds alike."""
+    n, t = x.shape
+    u, kind = model.hidden.shape[1], model.out.dtype.type
+    half = np.ones(4 * u, kind)
+    half[: 3 * u] = 0.5
+    at = np.ascontiguousarray(x.T, np.intp)
+    both, z, g, part = np.empty((2 * u, t, n), kind), np.empty((4 * u, n), kind), np.empty((4 * u, n), kind), np.empty((u, n), kind)
+    for d in (0, 1):
+        table, hidden = np.ascontiguousarray((model.inputs[d] * half).T), np.ascontiguousarray((model.hidden[d] * half).T * kind(0.5))
+        h, c = np.zeros((u, n), kind), np.zeros((u, n), kind)
+        for i in range(t) if d == 0 else range(t - 1, -1, -1):
+            np.matmul(hidden, h, out=z)
+            np.take(table, at[i], axis=1, out=g, mode="clip")
+            z += g
+            np.tanh(z, out=z)
+            z[: 3 * u] += 1
+            c *= z[u : 2 * u]
+            c *= kind(0.5)
+            np.multiply(z[:u], z[3 * u :], out=part)
+            c += part
+            np.multiply(c, kind(0.5), out=part)
+            np.tanh(part, out=part)
+            np.multiply(z[2 * u : 3 * u], part, out=h)
+            both[d * u : (d + 1) * u, i] = h
+    out = (model.out.T * kind(0.5)) @ both.reshape(2 * u, -1)
+    out += model.bias[:, None]
+    return out.reshape(-1, t, n)
+
+
+def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions (tags x places) of texts that aren't empty, averaged over their windows, and each text's first place.
+    Between texts are at least STRIDE places of no text."""
+    lengths = np.array([len(t) for t in texts])
+    windows = np.maximum(1, -(-(lengths - STRIDE) // STRIDE))
+    first = np.concatenate([[0], np.cumsum(windows + 2)])
+    x = np.full((int(first[-1]), STRIDE), 99, np.uint8)
+    flat = x.reshape(-1)
+    for t, s, n in zip(texts, (first * STRIDE).tolist(), lengths.tolist()):
+        flat[s : s + n] = encode(t)
+    at = np.repeat(first[:-1] - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+    left, right = _WEIGHT[:STRIDE], _WEIGHT[STRIDE:]
+    out, weight = np.zeros((TAGS, *x.shape), np.float32), np.zeros(x.shape, np.float32)
+    weight[at] += left
+    weight[at + 1] += right
+    for s in range(0, len(at), ROWS):
+        b = at[s : s + ROWS]
+        e = window_scores(model, np.concatenate([x[b], x[b + 1]], 1))
+        for k in range(TAGS):
+            out[k, b] += e[k, :STRIDE].T * left
+            out[k, b + 1] += e[k, STRIDE:].T * right
+    out /= np.where(weight > 0, weight, 1)
+    return out.reshape(TAGS, -1), first[:-1] * STRIDE
+
+
+def _room(model: Model, emit: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where a best path may leave tag 0: all but the places of which every span through them gains less than none does.
+
+    A span gains its first character's and its inner characters' scores over tag 0 and, at most, the best transitions at
+    its ends and in it. The greatest gain of all spans of a kind through a place comes from running sums and maxima."""
+    trans, init = model.trans.astype(np.float64) + BAD, model.init.astype(np.float64) + BAD_START
+    out = np.zeros(len(inside), bool)
+    for k in range(1, TAGS, 2):
+        into = max((trans[:, k] - trans[:, 0]).max(), init[k] - init[0])
+        after = max((trans[k : k + 2, [0, *range(1, TAGS, 2)]] - trans[0, [0, *range(1, TAGS, 2)]]).max(), 0.0)
+        inner = np.where(inside, (emit[k + 1] - emit[0]).astype(np.float64) + max(trans[k, k + 1], trans[k + 1, k + 1]) - trans[0, 0], -1e5)
+        total = np.cumsum(inner)
+        left = np.maximum.accumulate(np.where(inside, emit[k] - emit[0], -1e5) - total)
+        right = np.maximum.accumulate(total[::-1])[::-1]
+        out |= left + right + into + after > -ROUNDING
+    return out & inside
+
+
+def _rows(emits: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Emissions (tags x positions) of like lengths as rows: (their numbers, rows x positions x tags, lengths)."""
+    size = [x.shape[1] for x in emits]
+    order = sorted(range(len(emits)), key=size.__getitem__)
     s = 0
     while s < len(order):
         e = s + 1
-        while e < len(order) and e - s < 2048 and len(parts[order[e]]) <= len(parts[order[s]]) * 1.3 + 8 and (e - s + 1) * len(parts[order[e]]) < 400_000:
+        while e < len(order) and e - s < 2048 and size[order[e]] <= size[order[s]] * 1.3 + 8 and (e - s + 1) * size[order[e]] < 100_000:
             e += 1
-        ids = order[s:e]
-        lengths = np.array([len(parts[i]) for i in ids])
-        emit = np.zeros((len(ids), int(lengths.max()), TAGS), np.float32)
-        for row, i in zip(emit, ids):
-            n = len(parts[i])
-            row[:n] = emits[i][:n] / weights[i][:n, None]
-        best = best_paths(emit, lengths, model.trans + BAD, model.init + BAD_START)
-        m = forward_backward_padded(emit, lengths, model.trans + BAD, model.init + BAD_START)
-        sure = np.take_along_axis(m, best[:, :, None], 2)[:, :, 0]
-        for r, i in enumerate(ids):
-            y = best[r, : lengths[r]]
-            for a in np.flatnonzero(y % 2 == 1).tolist():
-                b = a + 1
-                while b < len(y) and y[b] == y[a] + 1:
-                    b += 1
-                out[i].append((ALL_KINDS[(int(y[a]) - 1) // 2], a, b, float(sure[r, a:b].mean())))
+        rows = np.zeros((e - s, size[order[e - 1]], TAGS), np.float32)
+        for row, i in zip(rows, order[s:e]):
+            row[: size[i]] = emits[i].T
+        yield order[s:e], rows, np.array([size[i] for i in order[s:e]])
         s = e
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in order, those that meet as one."""
+    if not len(a):
+        return a, b
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > np.maximum.accumulate(b)[:-1]]))
+    return a[new], np.maximum.reduceat(b, new)
+
+
+def _tag(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+    emit, first = scores(model, texts)
+    n = np.array([len(t) for t in texts])
+    edges = np.zeros(emit.shape[1] + 1, np.int8)
+    edges[first] += 1
+    edges[first + n] -= 1
+    room = np.flatnonzero(_room(model, emit, np.cumsum(edges[:-1]) > 0))
+    trans = model.trans + BAD
+
+    def around(a: np.ndarray, b: np.ndarray, more: int):
+        """The ranges with more places of their texts around them: (starts, rows of emissions, lengths, initial scores)."""
+        own = np.searchsorted(first, a, side="right") - 1
+        a, b = _merged(np.maximum(a - more, first[own]), np.minimum(b + more, (first + n)[own]))
+        begins = np.isin(a, first)
+        for mine, init in ((a[begins], model.init + BAD_START), (a[~begins], trans[0])):
+            ends = b[np.searchsorted(a, mine)]
+            for ids, rows, lengths in _rows([emit[:, x:y] for x, y in zip(mine, ends)]):
+                yield mine[ids], rows, lengths, init
+
+    spans = []
+    for starts, rows, lengths, init in around(room, room + 1, 1):
+        best = best_paths(rows, lengths, trans, init)
+        r, i = np.nonzero(best % 2 == 1)
+        goes_on = np.zeros(best.shape, bool)  # an inner tag is always after one of its kind
+        goes_on[:, 1:] = (best[:, 1:] > 0) & (best[:, 1:] % 2 == 0)
+        stop = np.where(goes_on, best.shape[1], np.arange(best.shape[1]))
+        stop = np.concatenate([np.minimum.accumulate(stop[:, ::-1], 1)[:, ::-1], np.full((len(best), 1), best.shape[1])], 1)
+        spans.append(np.stack([starts[r] + i, starts[r] + np.minimum(stop[r, i + 1], lengths[r]), best[r, i]], 1))
+    out: list[list] = [[] for _ in texts]
+    if not sum(map(len, spans)):
+        return out
+    found = np.concatenate(spans)
+    found = found[np.argsort(found[:, 0])]
+    sure = np.zeros(len(found))
+    for starts, rows, lengths, init in around(found[:, 0], found[:, 1], CONTEXT):
+        m = forward_backward_padded(rows, lengths, trans, init)
+        for s, row, size in zip(starts.tolist(), m, lengths.tolist()):
+            for j in range(*np.searchsorted(found[:, 0], [s, s + size])):
+                x, y, k = (found[j] - [s, s, 0]).tolist()
+                sure[j] = (row[x, k] + row[x + 1 : y, k + 1].sum()) / (y - x)
+    own = np.searchsorted(first, found[:, 0], side="right") - 1
+    for i, at, (a, b, k), p in zip(own.tolist(), first[own].tolist(), found.tolist(), sure.tolist()):
+        out[i].append((ALL_KINDS[(k - 1) // 2], a - at, b - at, p))
+    return out
+
+
+def tag(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+    """Spans of each text (kind, start, end, mean probability): windows' emissions averaged, then one best path."""
+    out: list[list] = [[] for _ in texts]
+    part, size = [], 0
+    for i, t in enumerate(texts):
+        if t:
+            part.append(i)
+            size += len(t) + 2 * STRIDE
+        if part and (size >= AT_ONCE or i == len(texts) - 1):
+            for j, found in zip(part, _tag(model, [texts[j] for j in part])):
+                out[j] = found
+            part, size = [], 0
     return out
 
 
@@ -410,13 +535,11 @@ def all_spans(model: Model | None, texts: list[str]) -> list[tuple[list[Span], l
     base = [base_spans(t) for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
     if model is not None:
-        where = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t)]
-        for (i, at, _), found in zip(where, tag(model, [texts[i][a:b] for i, a, b in where]) if where else []):
+        for i, (t, found) in enumerate(zip(texts, tag(model, texts))):
             for kind, a, b, sure in found:
-                s = texts[i][at + a : at + b]
-                edge = (texts[i][at + a - 1 : at + a] if at + a else "") + texts[i][at + b : at + b + 1]
-                if sure >= SURE and passes(kind, s) and not any(c.isalnum() for c in edge) and not any(a + at < y and x < b + at for _, x, y in base[i]):
-                    added[i].append((kind, at + a, at + b))
+                edge = (t[a - 1 : a] if a else "") + t[b : b + 1]
+                if sure >= SURE and passes(kind, t[a:b]) and not any(c.isalnum() for c in edge) and not any(a < y and x < b for _, x, y in base[i]):
+                    added[i].append((kind, a, b))
     rank = {k: j for j, k in enumerate(ALL_KINDS)}
     return [(b, sorted(b + a, key=lambda s: (rank[s[0]], *s[1:]))) for b, a in zip(base, added)]
 

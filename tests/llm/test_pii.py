@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from tessera.llm import pii
+from tessera.llm import crf, pii
 
 PROSE = ["The cat sat on the mat and looked at the wide sea for hours.", "Une autre chose que nous avions dans les maisons, et puis le reste.", "Version 2.0 of it came out on the 3rd day."] * 5
 SCHEMA = "doc_id long, text string, spans string, n_ip string"
@@ -135,6 +135,54 @@ def test_windows_are_reconciled(model):
     assert len(spans) > 30 and all(re.fullmatch(r"\(942\) 555-3818", long[a:b]) for _, a, b in spans)
 
 
+def slow_tags(model, text):
+    """Spans by the windows' averaged emissions of the whole text and one path through all of it."""
+    x = pii.encode(text)
+    emit, weight = np.zeros((len(x) + pii.WINDOW, pii.TAGS), np.float32), np.zeros(len(x) + pii.WINDOW, np.float32)
+    for at in range(0, max(1, len(x) - (pii.WINDOW - pii.STRIDE)), pii.STRIDE):
+        w = np.full((1, pii.WINDOW), 99)
+        w[0, : len(x[at : at + pii.WINDOW])] = x[at : at + pii.WINDOW]
+        emit[at : at + pii.WINDOW] += pii.run_lstm(model, w)[0] * pii._WEIGHT[:, None]
+        weight[at : at + pii.WINDOW] += pii._WEIGHT
+    emit, n = emit[None, : len(x)] / weight[: len(x), None], np.array([len(x)])
+    y = crf.best_paths(emit, n, model.trans + pii.BAD, model.init + pii.BAD_START)[0].tolist()
+    m = crf.forward_backward_padded(emit, n, model.trans + pii.BAD, model.init + pii.BAD_START)[0]
+    out = []
+    for a in (i for i, k in enumerate(y) if k % 2):
+        b = next((i for i in range(a + 1, len(y)) if y[i] != y[a] + 1), len(y))
+        out.append((pii.ALL_KINDS[y[a] // 2], a, b, pytest.approx(float(np.mean([m[i, y[i]] for i in range(a, b)])), abs=1e-3)))
+    return out
+
+
+def test_tags_are_those_of_whole_texts(model, monkeypatch):
+    """Bounds on the gain of spans, chunks of texts and contexts of probabilities change nothing."""
+    rng, sharp, texts = random.Random(3), model.narrow(), []
+    for _ in range(60):
+        parts = [rng.choice([rng.choice(PROSE), pii._number(rng, rng.choice(pii.ALL_KINDS))[0], pii._noise(rng)]) for _ in range(rng.randint(0, 12))]
+        texts.append(rng.choice([" ", "\n"]).join(parts))
+    texts += ["1", "x" * 48, "x" * 96, "1" * 97, "1 2 3 " * 60, "(942) 555-3818"]
+    vague = pii.Model(*[(x * 0.3).astype(np.float32) for x in model.parts()])
+    for m in (sharp, vague):
+        want = [slow_tags(m, t) if t else [] for t in texts]
+        assert sum(map(len, want)) > 50
+        assert pii.tag(m, texts) == want
+        monkeypatch.setattr(pii, "AT_ONCE", 500)
+        assert pii.tag(m, texts) == want
+        monkeypatch.undo()
+
+
+def test_every_place_of_a_text_is_tagged():
+    """A network of one unit that takes every q as part of a secret finds them far from digits, at and equals signs."""
+    m = pii.Model(*(x * 0 for x in pii.Model.new(1, 0).parts()))
+    m.inputs[:, :, :] = [20, -20, 20, -20]  # input, forget and output gate, cell
+    m.inputs[:, ord("q") - 30, 3] = 20
+    m.out[:, 9:] = [9, 10]
+    text = f"a 1 {'word ' * 60}qqqqqqqqqq {'word ' * 60}1 b"
+    a = text.index("q")
+    assert not any(x < a + 10 and a < y for x, y in pii.stretches(text))
+    assert pii.all_spans(m.narrow(), ["qqqqqqqq", "", text, "q q"]) == [([], [("secret", 0, 8)]), ([], []), ([], [("secret", a, a + 10)]), ([], [])]
+
+
 def test_masking(spark, model):
     rows = [(1, "write a@b.co now", "x", "y"), (2, None, "x", "y"), (3, "clean", "x", "y")]
     got = {r.doc_id: r for r in pii.masked(spark.createDataFrame(rows, SCHEMA), None).collect()}
