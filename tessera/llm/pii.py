@@ -11,7 +11,7 @@ Every window of every text goes through the network. The path is worked out wher
 on what any span could gain over none prove that the rest has none, and that it changes no path.
 
 Scale: fitting reads a bounded sample (`max_docs` documents, 3 snippets of each); tagging is a map over whole texts with
-no shuffle, linear in their length, with some thousand texts' characters (`AT_ONCE`) or one longer text in memory.
+no shuffle, linear in their length, with the scores of `AT_ONCE` characters or of one longer text in memory.
 """
 
 from __future__ import annotations

@@ -171,18 +171,30 @@ def test_tags_are_those_of_whole_texts(model, monkeypatch):
         monkeypatch.undo()
 
 
-def test_every_place_of_a_text_is_tagged():
-    """A network of one unit that takes every q as part of a secret finds them far from digits, at and equals signs."""
+def letter_q():
+    """A network of one unit that takes every q as part of a secret."""
     m = pii.Model(*(x * 0 for x in pii.Model.new(1, 0).parts()))
     m.inputs[:, :, :] = [20, -20, 20, -20]  # input, forget and output gate, cell
     m.inputs[:, ord("q") - 30, 3] = 20
     m.out[:, 9:] = [9, 10]
+    return m
+
+
+def test_every_place_of_a_text_is_tagged():
+    """Spans far from digits, at and equals signs are found."""
+    m = letter_q()
     text = f"a 1 {'word ' * 60}qqqqqqqqqq {'word ' * 60}1 b"
     a = text.index("q")
     assert not any(x < a + 10 and a < y for x, y in pii.stretches(text))
     assert pii.all_spans(m.narrow(), ["qqqqqqqq", "", text, "q q"]) == [([], [("secret", 0, 8)]), ([], []), ([], [("secret", a, a + 10)]), ([], [])]
 
 
+def test_every_place_of_a_text_is_masked(spark):
+    rows = [(1, f"a 1 {'word ' * 60}qqqqqqqqqq {'word ' * 60}1 b", "x", "y"), (2, None, "x", "y")]
+    got = {r.doc_id: r.text for r in pii.masked(spark.createDataFrame(rows, SCHEMA), letter_q()).collect()}
+    assert got == {1: rows[0][1].replace("qqqqqqqqqq", "[SECRET]"), 2: None}
+
+
 def test_masking(spark, model):
     rows = [(1, "write a@b.co now", "x", "y"), (2, None, "x", "y"), (3, "clean", "x", "y")]
     got = {r.doc_id: r for r in pii.masked(spark.createDataFrame(rows, SCHEMA), None).collect()}
