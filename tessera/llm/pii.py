@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +43,8 @@ TRIGGER = re.compile(r"[0-9@=]+")
 TAGS = 1 + 2 * len(ALL_KINDS)
 CHARS = 100
 WINDOW, STRIDE, AROUND = 96, 48, 40
-#: Characters and windows taken at once. They bound memory and change no result.
-AT_ONCE, ROWS = 1 << 18, 1024
+#: Characters and lanes taken at once. They bound memory and change no result.
+AT_ONCE, LANES = 1 << 19, 480
 #: Characters on both sides of a span that its probability is worked out with: farther ones don't tell in it.
 CONTEXT = 2 * WINDOW
 #: Room for rounding in the bounds of a span's gain.
@@ -70,7 +70,7 @@ def passes(kind: str, s: str) -> bool:
     """The checks of a kind: parts of an address at most 255, lengths, Luhn."""
     if kind == "ip":
         parts = [x.lstrip("0") for x in s.split(".")]
-        return all(len(x) <= 3 and int(x or 0) <= 255 for x in parts)
+        return all(len(x) <= 3 and (not x or x.isdecimal() and int(x) <= 255) for x in parts)
     if kind == "card":
         d = _digits(s)
         return 13 <= len(d) <= 19 and luhn(d)
@@ -125,10 +125,13 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+_IDS = np.full(193, 99, np.uint8)
+_IDS[32:127], _IDS[10], _IDS[192] = np.arange(2, 97), 97, 98
+
+
 def encode(text: str) -> np.ndarray:
     """Character ids: printable ASCII and newline have their own, letters beyond share one, anything else another."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where((c >= 32) & (c < 127), c - 30, np.where(c == 10, 97, np.where(c > 191, 98, 99))).astype(np.int64)
+    return _IDS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 192)]
 
 
 @dataclass
@@ -371,78 +374,111 @@ def stretches(text: str) -> list[tuple[int, int]]:
 _WEIGHT = (np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1).astype(np.float32)
 
 
-def window_scores(model: Model, x: np.ndarray) -> np.ndarray:
-    """Emissions (tags x positions x rows) as `run_lstm` gives them, in fewer and longer steps: a sigmoid is a tanh of the
-    half, so all gates go through one call; cells and outputs are kept doubled, which rounds alike."""
-    n, t = x.shape
-    u, kind = model.hidden.shape[1], model.out.dtype.type
-    half = np.ones(4 * u, kind)
-    half[: 3 * u] = 0.5
-    at = np.ascontiguousarray(x.T, np.intp)
-    both, z, g, part = np.empty((2 * u, t, n), kind), np.empty((4 * u, n), kind), np.empty((4 * u, n), kind), np.empty((u, n), kind)
-    for d in (0, 1):
-        table, hidden = np.ascontiguousarray((model.inputs[d] * half).T), np.ascontiguousarray((model.hidden[d] * half).T * kind(0.5))
-        h, c = np.zeros((u, n), kind), np.zeros((u, n), kind)
-        for i in range(t) if d == 0 else range(t - 1, -1, -1):
-            np.matmul(hidden, h, out=z)
-            np.take(table, at[i], axis=1, out=g, mode="clip")
-            z += g
-            np.tanh(z, out=z)
-            z[: 3 * u] += 1
-            c *= z[u : 2 * u]
-            c *= kind(0.5)
-            np.multiply(z[:u], z[3 * u :], out=part)
-            c += part
-            np.multiply(c, kind(0.5), out=part)
-            np.tanh(part, out=part)
-            np.multiply(z[2 * u : 3 * u], part, out=h)
-            both[d * u : (d + 1) * u, i] = h
-    out = (model.out.T * kind(0.5)) @ both.reshape(2 * u, -1)
-    out += model.bias[:, None]
-    return out.reshape(-1, t, n)
+def _shares() -> np.ndarray:
+    """Shares of the window that begins with a block and of the one that ends with it in the block's places (place x window
+    x 0 if there is neither, 1 if only the first, 2 if only the second, 3 if both)."""
+    out = np.zeros((STRIDE, 2, 4), np.float32)
+    out[:, 0, 1] = out[:, 1, 2] = 1
+    both = np.stack([_WEIGHT[:STRIDE], _WEIGHT[STRIDE:]], 1)
+    out[:, :, 3] = both / both.sum(1, keepdims=True)
+    return out
+
+
+_SHARES = _shares()
 
 
 def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Emissions (tags x places) of texts that aren't empty, averaged over their windows, and each text's first place.
-    Between texts are at least STRIDE places of no text."""
+    """Emissions (tags x places) of texts that aren't empty, averaged over their windows as `run_lstm` gives them, and each
+    text's first place. Between texts is at least one place of no text.
+
+    Blocks of STRIDE places lie in lanes, one after the other. A block is in two windows, one that begins with it and one
+    that ends with it; both are worked out in the same steps, so that a character's gates are looked up once, and averaged
+    there. A lane has the block before it once more (after it, backwards), for the window that it shares with that block.
+    A sigmoid is a tanh of the half, so all gates go through one call; outputs are kept doubled, which rounds alike."""
     lengths = np.array([len(t) for t in texts])
     windows = np.maximum(1, -(-(lengths - STRIDE) // STRIDE))
-    first = np.concatenate([[0], np.cumsum(windows + 2)])
-    x = np.full((int(first[-1]), STRIDE), 99, np.uint8)
-    flat = x.reshape(-1)
-    for t, s, n in zip(texts, (first * STRIDE).tolist(), lengths.tolist()):
-        flat[s : s + n] = encode(t)
-    at = np.repeat(first[:-1] - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
-    left, right = _WEIGHT[:STRIDE], _WEIGHT[STRIDE:]
-    out, weight = np.zeros((TAGS, *x.shape), np.float32), np.zeros(x.shape, np.float32)
-    weight[at] += left
-    weight[at + 1] += right
-    for s in range(0, len(at), ROWS):
-        b = at[s : s + ROWS]
-        e = window_scores(model, np.concatenate([x[b], x[b + 1]], 1))
-        for k in range(TAGS):
-            out[k, b] += e[k, :STRIDE].T * left
-            out[k, b + 1] += e[k, STRIDE:].T * right
-    out /= np.where(weight > 0, weight, 1)
-    return out.reshape(TAGS, -1), first[:-1] * STRIDE
-
-
-def _room(model: Model, emit: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    first = np.concatenate([[0], np.cumsum(np.maximum(2, lengths // STRIDE + 1))])
+    deep = -(-int(first[-1]) // LANES)
+    n = -(-int(first[-1]) // deep)
+    x = np.full((n * deep + 2, STRIDE), 99, np.uint8)
+    flat = x[1:].reshape(-1)
+    for t, s, size in zip(texts, (first * STRIDE).tolist(), lengths.tolist()):
+        flat[s : s + size] = encode(t)
+    begins = np.zeros(len(x) + 1, np.int8)
+    begins[np.repeat(first[:-1] - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum())) + 2] = 1
+    in_windows = begins[1:] + 2 * begins[:-1]
+
+    u, kind = model.hidden.shape[1], model.out.dtype.type
+    half = np.ones(4 * u, kind)
+    half[: 3 * u] = 0.5
+    z, g, emits = np.empty((2, 4 * u, n), kind), np.empty((4 * u, n), kind), np.empty((TAGS, n), kind)
+    rows = z[0].reshape(n, 4 * u)  # free until z is worked out
+    h, c, part = (np.zeros((2, u, n), kind) for _ in range(3))
+    out = np.empty((deep, STRIDE, TAGS, n), np.float32)
+    for d, steps in enumerate((range(STRIDE), range(STRIDE - 1, -1, -1))):
+        table, hidden = np.ascontiguousarray(model.inputs[d] * half), np.ascontiguousarray((model.hidden[d] * half).T * kind(0.5))
+        to_tags = np.tile(model.out[d * u : (d + 1) * u].T * kind(0.5), 2)
+        for k in range(-1, deep) if d == 0 else range(deep, -1, -1):
+            own = slice(1 + k, 2 + k + (n - 1) * deep, deep)
+            ids = np.ascontiguousarray(x[own].T, np.intp)
+            share = np.take(_SHARES[:, :: 1 - 2 * d], in_windows[own], axis=2)[:, :, None]
+            h[1], c[1] = h[0], c[0]
+            h[0] = c[0] = 0
+            outside = not 0 <= k < deep
+            h2, c2, z2, part2 = (a[:1] if outside else a for a in (h, c, z, part))
+            i, f, o, a = (z2[:, j * u : (j + 1) * u] for j in range(4))
+            sigmoids = z2[:, : 3 * u]
+            for p in steps:
+                np.take(table, ids[p], axis=0, out=rows, mode="clip")
+                np.copyto(g, rows.T)
+                np.matmul(hidden, h2, out=z2)
+                np.add(z2, g, out=z2)
+                np.tanh(z2, out=z2)
+                np.add(sigmoids, 1, out=sigmoids)
+                np.multiply(c2, f, out=c2)
+                np.multiply(i, a, out=part2)
+                np.add(c2, part2, out=c2)
+                np.multiply(c2, kind(0.5), out=c2)
+                np.tanh(c2, out=part2)
+                np.multiply(o, part2, out=h2)
+                if not outside:
+                    np.multiply(h, share[p], out=part)
+                    np.matmul(to_tags, part.reshape(2 * u, n), out=emits if d else out[k, p])
+                    if d:
+                        out[k, p] += emits
+        h[:] = c[:] = 0
+    flat_out = out.transpose(2, 3, 0, 1).reshape(TAGS, -1)
+    flat_out += model.bias[:, None]
+    return flat_out, first[:-1] * STRIDE
+
+
+def _room(model: Model, emit: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Where a best path may leave tag 0: all but the places of which every span through them gains less than none does.
 
     A span gains its first character's and its inner characters' scores over tag 0 and, at most, the best transitions at
-    its ends and in it. The greatest gain of all spans of a kind through a place comes from running sums and maxima."""
+    its ends and in it. The greatest gain of all spans of a kind that end at a place comes from a running sum and maximum;
+    in texts where one is enough, the greatest gain of those through a place does too."""
     trans, init = model.trans.astype(np.float64) + BAD, model.init.astype(np.float64) + BAD_START
+    edges = np.zeros(emit.shape[1] + 1, np.int8)
+    edges[first] += 1
+    edges[ends] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8) > 0
+    none = np.where(inside, emit[0], np.float32(1e5))
     out = np.zeros(len(inside), bool)
     for k in range(1, TAGS, 2):
         into = max((trans[:, k] - trans[:, 0]).max(), init[k] - init[0])
         after = max((trans[k : k + 2, [0, *range(1, TAGS, 2)]] - trans[0, [0, *range(1, TAGS, 2)]]).max(), 0.0)
-        inner = np.where(inside, (emit[k + 1] - emit[0]).astype(np.float64) + max(trans[k, k + 1], trans[k + 1, k + 1]) - trans[0, 0], -1e5)
-        total = np.cumsum(inner)
-        left = np.maximum.accumulate(np.where(inside, emit[k] - emit[0], -1e5) - total)
-        right = np.maximum.accumulate(total[::-1])[::-1]
-        out |= left + right + into + after > -ROUNDING
-    return out & inside
+        total = np.subtract(emit[k + 1], none, dtype=np.float64)
+        total += max(trans[k, k + 1], trans[k + 1, k + 1]) - trans[0, 0]
+        np.cumsum(total, out=total)
+        left = np.subtract(emit[k], none, dtype=np.float64)
+        left -= total
+        np.maximum.accumulate(left, out=left)
+        enough = np.flatnonzero(left + total > -ROUNDING - into - after)
+        for j in np.unique(np.searchsorted(first, enough, side="right") - 1):
+            own = slice(first[j], ends[j])
+            out[own] |= left[own] + np.maximum.accumulate(total[own][::-1])[::-1] > -ROUNDING - into - after
+    return out
 
 
 def _rows(emits: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -469,13 +505,10 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], np.maximum.reduceat(b, new)
 
 
-def _tag(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+def _tag(model: Model, texts: list[str], wanted: Callable[[int, str, int, int], bool]) -> list[list[tuple[str, int, int, float]]]:
     emit, first = scores(model, texts)
     n = np.array([len(t) for t in texts])
-    edges = np.zeros(emit.shape[1] + 1, np.int8)
-    edges[first] += 1
-    edges[first + n] -= 1
-    room = np.flatnonzero(_room(model, emit, np.cumsum(edges[:-1]) > 0))
+    room = np.flatnonzero(_room(model, emit, first, first + n))
     trans = model.trans + BAD
 
     def around(a: np.ndarray, b: np.ndarray, more: int):
@@ -502,6 +535,9 @@ def _tag(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float
         return out
     found = np.concatenate(spans)
     found = found[np.argsort(found[:, 0])]
+    own = np.searchsorted(first, found[:, 0], side="right") - 1
+    keep = np.array([wanted(i, ALL_KINDS[(k - 1) // 2], a - at, b - at) for i, at, (a, b, k) in zip(own.tolist(), first[own].tolist(), found.tolist())])
+    found, own = found[keep], own[keep]
     sure = np.zeros(len(found))
     for starts, rows, lengths, init in around(found[:, 0], found[:, 1], CONTEXT):
         m = forward_backward_padded(rows, lengths, trans, init)
@@ -509,14 +545,14 @@ def _tag(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float
             for j in range(*np.searchsorted(found[:, 0], [s, s + size])):
                 x, y, k = (found[j] - [s, s, 0]).tolist()
                 sure[j] = (row[x, k] + row[x + 1 : y, k + 1].sum()) / (y - x)
-    own = np.searchsorted(first, found[:, 0], side="right") - 1
     for i, at, (a, b, k), p in zip(own.tolist(), first[own].tolist(), found.tolist(), sure.tolist()):
         out[i].append((ALL_KINDS[(k - 1) // 2], a - at, b - at, p))
     return out
 
 
-def tag(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
-    """Spans of each text (kind, start, end, mean probability): windows' emissions averaged, then one best path."""
+def tag(model: Model, texts: list[str], wanted: Callable[[int, str, int, int], bool] = lambda *_: True) -> list[list[tuple[str, int, int, float]]]:
+    """Spans of each text (kind, start, end, mean probability): windows' emissions averaged, then one best path. Of the
+    spans on it those are given that are wanted (number of the text, kind, start, end); others need no probability."""
     out: list[list] = [[] for _ in texts]
     part, size = [], 0
     for i, t in enumerate(texts):
@@ -524,7 +560,7 @@ def tag(model: Model, texts: list[str]) -> list[list[tuple[str, int, int, float]
             part.append(i)
             size += len(t) + 2 * STRIDE
         if part and (size >= AT_ONCE or i == len(texts) - 1):
-            for j, found in zip(part, _tag(model, [texts[j] for j in part])):
+            for j, found in zip(part, _tag(model, [texts[j] for j in part], lambda j, *span, part=part: wanted(part[j], *span))):
                 out[j] = found
             part, size = [], 0
     return out
@@ -535,11 +571,14 @@ def all_spans(model: Model | None, texts: list[str]) -> list[tuple[list[Span], l
     base = [base_spans(t) for t in texts]
     added: list[list[Span]] = [[] for _ in texts]
     if model is not None:
-        for i, (t, found) in enumerate(zip(texts, tag(model, texts))):
-            for kind, a, b, sure in found:
-                edge = (t[a - 1 : a] if a else "") + t[b : b + 1]
-                if sure >= SURE and passes(kind, t[a:b]) and not any(c.isalnum() for c in edge) and not any(a < y and x < b for _, x, y in base[i]):
-                    added[i].append((kind, a, b))
+
+        def may_be_added(i: int, kind: str, a: int, b: int) -> bool:
+            t = texts[i]
+            edge = (t[a - 1 : a] if a else "") + t[b : b + 1]
+            return passes(kind, t[a:b]) and not any(c.isalnum() for c in edge) and not any(a < y and x < b for _, x, y in base[i])
+
+        for i, found in enumerate(tag(model, texts, may_be_added)):
+            added[i] += [(kind, a, b) for kind, a, b, sure in found if sure >= SURE]
     rank = {k: j for j, k in enumerate(ALL_KINDS)}
     return [(b, sorted(b + a, key=lambda s: (rank[s[0]], *s[1:]))) for b, a in zip(base, added)]
 

@@ -171,6 +171,35 @@ def test_tags_are_those_of_whole_texts(model, monkeypatch):
         monkeypatch.undo()
 
 
+def test_gates_are_looked_up_once_for_both_windows(model, monkeypatch):
+    """A place is in two windows; its gates are looked up once in each direction, but for ends of texts and lanes."""
+    texts, looked_up, take = [" ".join(PROSE) * n for n in (40, 3, 100)], [], np.take
+    monkeypatch.setattr(np, "take", lambda a, ids, **more: (a.dtype == np.float32 and a.size == pii.CHARS * 80 and looked_up.append(np.size(ids)), take(a, ids, **more))[1])
+    pii.scores(model.narrow(), texts)
+    assert 2 <= sum(looked_up) / sum(map(len, texts)) < 2.4
+
+
+def test_lanes_change_no_emission(model, monkeypatch):
+    texts = ["x", "(942) 555-3818 " * 9, *("a1 @" * n for n in (11, 12, 13, 23, 24, 25, 36, 37))]
+    got = []
+    for lanes in (480, 7, 1):
+        monkeypatch.setattr(pii, "LANES", lanes)
+        emit, first = pii.scores(model.narrow(), texts)
+        got.append(np.concatenate([emit[:, a : a + len(t)] for a, t in zip(first, texts)], 1))
+    assert np.allclose(got[0], got[1], atol=1e-4) and np.allclose(got[0], got[2], atol=1e-4)
+
+
+def test_only_spans_that_may_be_added_get_a_probability(model, monkeypatch):
+    text, sharp = "please call +1 (942) 555-3818 or write soon", model.narrow()
+    assert pii.tag(sharp, [text]) and pii.tag(sharp, [text], lambda *_: False) == [[]]
+    monkeypatch.setattr(pii, "forward_backward_padded", None)
+    assert pii.all_spans(sharp, [text]) == [([("phone", 12, 29)], [("phone", 12, 29)])]
+
+
+def test_letters_are_no_address():
+    assert [pii.passes("ip", s) for s in ("1.a", "a.1.2.3", "1.2.3.256", "001.2.3.4", "1..2")] == [False, False, False, True, True]
+
+
 def letter_q():
     """A network of one unit that takes every q as part of a secret."""
     m = pii.Model(*(x * 0 for x in pii.Model.new(1, 0).parts()))
