@@ -411,13 +411,23 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     u, kind = model.hidden.shape[1], model.out.dtype.type
     half = np.ones(4 * u, kind)
     half[: 3 * u] = 0.5
-    z, g, emits = np.empty((2, 4 * u, n), kind), np.empty((4 * u, n), kind), np.empty((TAGS, n), kind)
+    gates_and_tags, g, last = np.empty((2, 4 * u + TAGS, n), kind), np.empty((4 * u, n), kind), np.empty((2, TAGS, n), kind)
+    z, tags = gates_and_tags[:, : 4 * u], gates_and_tags[:, 4 * u :]
     rows = z[0].reshape(n, 4 * u)  # free until z is worked out
     h, c, part = (np.zeros((2, u, n), kind) for _ in range(3))
     out = np.empty((deep, STRIDE, TAGS, n), np.float32)
     for d, steps in enumerate((range(STRIDE), range(STRIDE - 1, -1, -1))):
-        table, hidden = np.ascontiguousarray(model.inputs[d] * half), np.ascontiguousarray((model.hidden[d] * half).T * kind(0.5))
-        to_tags = np.tile(model.out[d * u : (d + 1) * u].T * kind(0.5), 2)
+        table, to_tags = np.ascontiguousarray(model.inputs[d] * half), model.out[d * u : (d + 1) * u].T * kind(0.5)
+        hidden = np.concatenate([(model.hidden[d] * half).T * kind(0.5), to_tags])
+
+        def add(k: int, p: int, emits: np.ndarray) -> None:
+            np.multiply(emits, share[p], out=last)
+            if d == 0:
+                np.add(last[0], last[1], out=out[k, p])
+            else:
+                out[k, p] += last[0]
+                out[k, p] += last[1]
+
         for k in range(-1, deep) if d == 0 else range(deep, -1, -1):
             own = slice(1 + k, 2 + k + (n - 1) * deep, deep)
             ids = np.ascontiguousarray(x[own].T, np.intp)
@@ -425,13 +435,15 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h[1], c[1] = h[0], c[0]
             h[0] = c[0] = 0
             outside = not 0 <= k < deep
-            h2, c2, z2, part2 = (a[:1] if outside else a for a in (h, c, z, part))
+            h2, c2, z2, part2, both2 = (a[:1] if outside else a for a in (h, c, z, part, gates_and_tags))
             i, f, o, a = (z2[:, j * u : (j + 1) * u] for j in range(4))
             sigmoids = z2[:, : 3 * u]
             for p in steps:
                 np.take(table, ids[p], axis=0, out=rows, mode="clip")
                 np.copyto(g, rows.T)
-                np.matmul(hidden, h2, out=z2)
+                np.matmul(hidden, h2, out=both2)
+                if p != steps[0] and not outside:  # the tags of the step before
+                    add(k, p - 1 + 2 * d, tags)
                 np.add(z2, g, out=z2)
                 np.tanh(z2, out=z2)
                 np.add(sigmoids, 1, out=sigmoids)
@@ -441,11 +453,8 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 np.multiply(c2, kind(0.5), out=c2)
                 np.tanh(c2, out=part2)
                 np.multiply(o, part2, out=h2)
-                if not outside:
-                    np.multiply(h, share[p], out=part)
-                    np.matmul(to_tags, part.reshape(2 * u, n), out=emits if d else out[k, p])
-                    if d:
-                        out[k, p] += emits
+            if not outside:
+                add(k, p, np.matmul(to_tags, h))
         h[:] = c[:] = 0
     flat_out = out.transpose(2, 3, 0, 1).reshape(TAGS, -1)
     flat_out += model.bias[:, None]
