@@ -99,6 +99,26 @@ def test_odd_tables(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.class_id or 0, r.n_copies) for r in got) == [(False, 1, 1, 1), (False, 1, 1, 3), (False, 1, 1, 3), (True, 0, 0, 1), (True, 0, 1, 3)]
 
 
+def test_keys_and_texts_travel_once(spark, monkeypatch):
+    """One shuffle finds the buckets of more than one class, none the texts, unless rows repeat; a text comes once then too."""
+    made, written = {}, nd.written
+    monkeypatch.setattr(nd, "written", lambda df, what: made.update({what: (df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"), got := written(df, what), got.collect())}) or got)
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + j + (i % 3 == j)}" for j in range(30))) for i in range(12)] + [(None, "a b c d"), (None, "a b c d e"), (99, "alone " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = sorted(map(tuple, nd.near_duplicates(df).collect()), key=str)
+    assert made["buckets"][0] == 1 and made["texts"][0] == 0 and "texts-once" not in made
+    keys = defaultdict(set)
+    for r in made["classes"][2]:
+        for place, key in enumerate(r["keys"]):
+            if key:
+                keys[key].add((bytes(r.cls), place))
+    want = {(key, cls, place, len(of)) for key, of in keys.items() if len(of) > 1 for cls, place in of}
+    assert len(want) > 20 and {(r.key, bytes(r.cls), r.place, r.n) for r in made["buckets"][2]} == want and len(made["buckets"][2]) == len(want)
+    twice = nd.near_duplicates(df.unionByName(df)).collect()
+    assert sorted(map(tuple, twice), key=str) == sorted([(*r[:3], 2 * r[3]) for r in once for _ in range(2)], key=str)
+    assert sorted(r.text for r in made["texts-once"][2]) == sorted({t for _, t in rows if "alone" not in t})
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = [(5, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (4, "a b c d e f g h i k"), (3, "z z y"), (9, None), (8, ""), (None, "q"), (None, "q")]
     got = nd.deduplicated(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA))
