@@ -44,7 +44,9 @@ TAGS = 1 + 2 * len(ALL_KINDS)
 CHARS = 100
 WINDOW, STRIDE, AROUND = 96, 48, 40
 #: Characters and lanes taken at once. They bound memory and change no result.
-AT_ONCE, LANES = 1 << 19, 480
+AT_ONCE, LANES = 1 << 18, 480
+#: Masked texts that go back to Spark at once.
+RETURNED = 1000
 #: Characters on both sides of a span that its probability is worked out with: farther ones don't tell in it.
 CONTEXT = 2 * WINDOW
 #: Room for rounding in the bounds of a span's gain.
@@ -638,8 +640,9 @@ def masked(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            texts = s.tolist()
-            found = all_spans(shared.value, [t or "" for t in texts])
-            yield pd.Series([None if t is None else mask(t, spans) for t, (_, spans) in zip(texts, found)], dtype=object)
+            for at in range(0, len(s), RETURNED):
+                texts = s.iloc[at : at + RETURNED].tolist()
+                found = all_spans(shared.value, [t or "" for t in texts])
+                yield pd.Series([None if t is None else mask(t, spans) for t, (_, spans) in zip(texts, found)], dtype=object)
 
     return docs.withColumn(text_col, clean(text_col))

@@ -229,3 +229,9 @@ def test_masking(spark, model):
     got = {r.doc_id: r for r in pii.masked(spark.createDataFrame(rows, SCHEMA), None).collect()}
     assert [got[i].text for i in (1, 2, 3)] == ["write [EMAIL] now", None, "clean"] and got[1].spans == "x"
     assert pii.mask("0123456789", [("card", 2, 6), ("phone", 4, 8)]) == "01[CARD]89"
+
+
+def test_masked_texts_go_back_in_parts(spark):
+    rows = [(i, None if i % 7 == 0 else f"{i} to a{i}@b.co", "x", "y") for i in range(2 * pii.RETURNED + 5)]
+    got = pii.masked(spark.createDataFrame(rows, SCHEMA).coalesce(1), None).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(i, None if t is None else f"{i} to [EMAIL]") for i, t, _, _ in rows]
