@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import neardup as nd
+from tessera.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, class_id string, cls string"
 
@@ -119,6 +121,49 @@ def test_keys_and_texts_travel_once(spark, monkeypatch):
     assert sorted(r.text for r in made["texts-once"][2]) == sorted({t for _, t in rows if "alone" not in t})
 
 
+def test_disk_is_freed_on_the_way(spark, monkeypatch):
+    """Shuffle files go with the write that made them, tables with their last reader; the session's setting stays."""
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+    root, left, written = shared_dir(spark).removeprefix("file://"), [], nd.written
+
+    def watched(df, what):
+        before, setting = files(), spark.conf.get(nd._FREE)
+        got = written(df, what)
+        left.append((what, files() - before))
+        assert spark.conf.get(nd._FREE) == setting
+        return got
+
+    monkeypatch.setattr(nd, "written", watched)
+    there = set(os.listdir(root))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in corpus()], SCHEMA).repartition(3)
+    got = nd.near_duplicates(docs)
+    kept = {x.rpartition("-")[0] for x in set(os.listdir(root)) - there}
+    assert len(left) > 12 and max(n for _, n in left) <= 0, left
+    assert kept <= {"members", "info", "link-counts", "small-star"}
+    assert got.count() == len(corpus())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_buckets_of_the_same_classes_meet_once(spark, seed):
+    """Of buckets of the same classes the first stays, so every pair keeps the bucket of its first common key."""
+    rng = random.Random(seed)
+    keys = {i: [rng.choice([0, 0, 10 * place + rng.randrange(1, 4)]) for place in range(8)] for i in range(12)}
+    keys |= {i: [1000 * (i // 2) + place for place in range(1, 9)] for i in range(20, 26)}
+    one = spark.createDataFrame([(bytes([i]) * 16, k) for i, k in keys.items()], "cls binary, keys array<long>").repartition(3)
+    of = defaultdict(set)
+    for i, k in keys.items():
+        for place, key in enumerate(k):
+            if key:
+                of[place, key].add(i)
+    want = {}
+    for (place, key), some in sorted(of.items()):
+        if len(some) > 1:
+            want.setdefault(frozenset(some), (place, key))
+    got = nd._first_of_same(nd._shared(one)).collect()
+    assert sorted((r.place, r.key, r.cls[0], r.n) for r in got) == sorted((place, key, i, len(some)) for some, (place, key) in want.items() for i in some)
+    assert len(want) < sum(len(some) > 1 for some in of.values())
+
+
 def test_one_row_of_each_class_stays(spark):
     rows = [(5, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (3, "a b c d e f g h i j"), (4, "a b c d e f g h i k"), (3, "z z y"), (9, None), (8, ""), (None, "q"), (None, "q")]
     got = nd.deduplicated(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA))
