@@ -6,6 +6,8 @@ weights 1, 2, 3, ..., so that every part counts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -21,9 +23,17 @@ def _columns(sql: dict[str, str], digits: int = 6) -> str:
     return ", ".join(f"round({x}, {digits}) + 0.0 AS {k}" for k, x in sql.items())
 
 
-def _lines(spark, sf_dir, columns: dict[str, Column], digits: int = 6):
-    df = table(spark, sf_dir, "lineitem").withColumns({"w": F.col("l_quantity") / 50, "x": F.col("l_discount"), "y": F.col("l_tax") + 0.01})
-    return rounded(df.select("l_orderkey", "l_linenumber", *(c.cast("double").alias(k) for k, c in columns.items())), digits)
+def _rounded(c: Column, digits: int) -> Column:
+    """Half away from zero as C's round does it, which is what SQL's does; Spark's goes through decimals, a hundred times slower."""
+    unit = 10.0**digits
+    near = F.floor(F.abs(c) * unit + 0.5) / unit
+    return F.when(F.abs(c) < 2.0**52 / unit, F.when(c < 0, -near).otherwise(near)).otherwise(c) + 0.0
+
+
+def _lines(spark, sf_dir, columns: dict[str, Column], digits: int = 6, kept: Sequence[Column] = ()):
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_quantity") / 50).alias("w"), F.col("l_discount").alias("x"), (F.col("l_tax") + 0.01).alias("y"))
+    df = quaternions.with_steps(df, kept, "l_linenumber").select("l_orderkey", "l_linenumber", *(c.cast("double").alias(k) for k, c in columns.items()))
+    return df.select("l_orderkey", quaternions.apart(F.col("l_linenumber")).alias("l_linenumber"), *(_rounded(F.col(k), digits).alias(k) for k in columns))
 
 
 _LINES = "FROM (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS w, l_discount AS x, l_tax + 0.01 AS y, 1.0::DOUBLE AS z, 0.5::DOUBLE AS a, 0.1::DOUBLE AS b, 0.2::DOUBLE AS c, 0.3::DOUBLE AS d FROM lineitem)"
@@ -84,13 +94,15 @@ _ALGEBRA = {
 @query(f"SELECT l_orderkey, l_linenumber, {_columns(_ALGEBRA)} {_LINES}")
 def quaternion_algebra(spark, sf_dir):
     u, (q, p) = quaternions, _q()
-    out = {"added": u.add(q, p), "subtracted": u.sub(q, p), "divided": u.div(q, p), "scaled": u.scale(q, 3.0), "plus_scalar": u.scalar_add(q, 3.0), "minus_scalar": u.scalar_sub(q, 3.0), "scalar_over": u.scalar_div(q, F.lit(3.0)), "opposite": u.opposite(q), "conjugate": u.conjugate(q), "inverse": u.inverse(q), "normalized": u.normalized(q), "identity": u.identity(), "lerp": u.lerp(q, p, F.lit(0.25)), "nlerp": u.nlerp(q, p, F.lit(0.25))}
-    for axis in ("", "x", "y", "z"):
-        name = axis + "_" if axis else "parity_"
-        out |= {f"{axis}_parity" if axis else "parity": u.parity_conjugate(q, axis), name + "even": u.parity_symmetric_part(q, axis), name + "odd": u.parity_antisymmetric_part(q, axis)}
-    plain = {"magnitude": u.magnitude(q), "dot": u.dot(q, p), "rotor_chordal": u.rotor_chordal_distance(q, p), "rotation_chordal": u.rotation_chordal_distance(q, p)}
-    tests = {"equal": u.equal(q, p), "less": u.is_less(q, p), "greater": u.is_greater(q, p), "less_equal": u.is_less_equal(q, p), "greater_equal": u.is_greater_equal(q, p), "zero": u.is_zero(q), "is_one": u.is_identity(q), "nan": u.is_nan(q), "inf": u.is_inf(q), "finite": u.is_finite(q)}
-    return _lines(spark, sf_dir, {k: _mix(v) for k, v in out.items()} | plain | {k: v.cast("int") for k, v in tests.items()})
+    with u.steps() as kept:
+        out = {"added": u.add(q, p), "subtracted": u.sub(q, p), "divided": u.div(q, p), "scaled": u.scale(q, 3.0), "plus_scalar": u.scalar_add(q, 3.0), "minus_scalar": u.scalar_sub(q, 3.0), "scalar_over": u.scalar_div(q, F.lit(3.0)), "opposite": u.opposite(q), "conjugate": u.conjugate(q), "inverse": u.inverse(q), "normalized": u.normalized(q), "identity": u.identity(), "lerp": u.lerp(q, p, F.lit(0.25)), "nlerp": u.nlerp(q, p, F.lit(0.25))}
+        for axis in ("", "x", "y", "z"):
+            name = axis + "_" if axis else "parity_"
+            out |= {f"{axis}_parity" if axis else "parity": u.parity_conjugate(q, axis), name + "even": u.parity_symmetric_part(q, axis), name + "odd": u.parity_antisymmetric_part(q, axis)}
+        plain = {"magnitude": u.magnitude(q), "dot": u.dot(q, p), "rotor_chordal": u.rotor_chordal_distance(q, p), "rotation_chordal": u.rotation_chordal_distance(q, p)}
+        tests = {"equal": u.equal(q, p), "less": u.is_less(q, p), "greater": u.is_greater(q, p), "less_equal": u.is_less_equal(q, p), "greater_equal": u.is_greater_equal(q, p), "zero": u.is_zero(q), "is_one": u.is_identity(q), "nan": u.is_nan(q), "inf": u.is_inf(q), "finite": u.is_finite(q)}
+        mixed = {k: u.let(v, _mix) for k, v in out.items()}
+    return _lines(spark, sf_dir, mixed | plain | {k: v.cast("int") for k, v in tests.items()}, kept=kept)
 
 
 _V, _R = "sqrt(x*x+y*y+z*z)", "sqrt(w*w+x*x+y*y+z*z)"
@@ -114,12 +126,14 @@ _CURVED = {
 @query(f"SELECT l_orderkey, l_linenumber, {_columns(_CURVED)} {_LINES}")
 def quaternion_functions(spark, sf_dir):
     u, (q, _) = quaternions, _q()
-    unit = u.normalized(q)
-    r = u.let(unit, lambda v: u.rotate_vector(v, F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z"))))
-    turned = u.from_axis_angle(F.col("w") * 1.0, F.lit(0.0), F.lit(0.0), F.lit(1.0))
-    out = {"exponential": u.exp(q), "logarithm": u.log(q), "root": u.sqrt(q), "cubed": u.scalar_pow(q, F.lit(3.0)), "to_the_two": u.power(q, u.quaternion(2.0, 0, 0, 0)), "axis_angle": u.from_axis_angle(F.col("w"), F.lit(0.6), F.lit(0.0), F.lit(0.8)), "spherical": u.from_spherical_coords(F.col("w"), F.col("x")), "euler": u.from_euler_angles(F.col("w"), F.col("x"), F.col("y")), "matrix_and_back": u.let(u.let(unit, u.to_matrix), u.from_matrix)}
-    plain = {"angle": u.angle(q), "rotated": r["x"] + 2 * r["y"] + 3 * r["z"], "rotor_turn": u.rotor_intrinsic_distance(turned, u.identity())}
-    return _lines(spark, sf_dir, {k: _mix(v) for k, v in out.items()} | plain)
+    with u.steps() as kept:
+        unit = u.let(u.normalized(q), lambda v: v)
+        r = u.rotate_vector(unit, F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(3.0).alias("z")))
+        turned = u.from_axis_angle(F.col("w") * 1.0, F.lit(0.0), F.lit(0.0), F.lit(1.0))
+        out = {"exponential": u.exp(q), "logarithm": u.log(q), "root": u.sqrt(q), "cubed": u.scalar_pow(q, F.lit(3.0)), "to_the_two": u.power(q, u.quaternion(2.0, 0, 0, 0)), "axis_angle": u.from_axis_angle(F.col("w"), F.lit(0.6), F.lit(0.0), F.lit(0.8)), "spherical": u.from_spherical_coords(F.col("w"), F.col("x")), "euler": u.from_euler_angles(F.col("w"), F.col("x"), F.col("y")), "matrix_and_back": u.let(u.to_matrix(unit), u.from_matrix)}
+        plain = {"angle": u.angle(q), "rotated": r["x"] + 2 * r["y"] + 3 * r["z"], "rotor_turn": u.rotor_intrinsic_distance(turned, u.identity())}
+        mixed = {k: u.let(v, _mix) for k, v in out.items()}
+    return _lines(spark, sf_dir, mixed | plain, kept=kept)
 
 
 # --- complex numbers: w + xi -----------------------------------------------------------------------------------------
@@ -138,7 +152,9 @@ def complex_functions(spark, sf_dir):
 # --- polynomials -----------------------------------------------------------------------------------------------------
 
 
-def _weighed(a: Column) -> Column:
+def _weighed(a: Column | list[Column]) -> Column:
+    if isinstance(a, list):
+        return sum((v * (i + 1) for i, v in enumerate(a)), F.lit(0.0))
     return F.aggregate(F.transform(a, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
 
 
@@ -148,14 +164,15 @@ _POLY = {"added": "(w+1) + 2*(x+2) + 3*(y+3) + 4*1", "subtracted": "(w-1) + 2*(x
 @query(f"SELECT l_orderkey, l_linenumber, {_columns(_POLY, 5)} {_LINES}")
 def polynomial_algebra(spark, sf_dir):
     u, w = polynomials, F.col("w")
-    a, b = F.array("w", "x", "y", F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))
-    r, s = w + 1.5, w + 4
-    roots = u.solve_cubic(F.lit(1.0), -(w + r + s), w * r + w * s + r * s, -w * r * s)
-    top = u.quadratic_optimum(F.array("w", "x", F.lit(3.7)))
-    line = F.array(*(F.lit(c) for c in u.fit_points([0.0, 1.0, 2.0], [1.0, 2.0, 7.0])))
-    bent = F.array(*(F.lit(c) for c in u.fit_points([0.0, 1.0], [2.0, 3.0], 1.0, 2.0)))
-    out = {"added": _weighed(u.add(a, b)), "subtracted": _weighed(u.subtract(a, b)), "multiplied": _weighed(u.multiply(a, b)), "degree": u.degree(a), "odd": u.sum_odd(a), "even": u.sum_even(a), "low": roots[0], "middle": roots[1], "high": roots[2], "xopt": top["xopt"], "fopt": top["fopt"], "xifl": u.cubic_critical(a)["xifl"], "chebyshev": scalars.chebyshev(a, F.lit(0.3)), "through": u.evaluate(line, w), "with_slope": u.evaluate(bent, w)}
-    return _lines(spark, sf_dir, out, 5)
+    with quaternions.steps() as kept:
+        a, b = [w, F.col("x"), F.col("y"), F.lit(1.0)], [F.lit(1.0), F.lit(2.0), F.lit(3.0)]
+        r, s = w + 1.5, w + 4
+        roots = quaternions.let(u.solve_cubic(F.lit(1.0), -(w + r + s), w * r + w * s + r * s, -w * r * s), lambda v: v)
+        top = u.quadratic_optimum([w, F.col("x"), F.lit(3.7)])
+        line = [F.lit(c) for c in u.fit_points([0.0, 1.0, 2.0], [1.0, 2.0, 7.0])]
+        bent = [F.lit(c) for c in u.fit_points([0.0, 1.0], [2.0, 3.0], 1.0, 2.0)]
+        out = {"added": _weighed(u.add(a, b)), "subtracted": _weighed(u.subtract(a, b)), "multiplied": _weighed(u.multiply(a, b)), "degree": u.degree(a), "odd": u.sum_odd(a), "even": u.sum_even(a), "low": roots[0], "middle": roots[1], "high": roots[2], "xopt": top["xopt"], "fopt": top["fopt"], "xifl": u.cubic_critical(a)["xifl"], "chebyshev": scalars.chebyshev(a, F.lit(0.3)), "through": u.evaluate(line, w), "with_slope": u.evaluate(bent, w)}
+    return _lines(spark, sf_dir, out, 5, kept)
 
 
 # --- scalars and points ----------------------------------------------------------------------------------------------

@@ -1,8 +1,13 @@
-"""Polynomials as arrays of ascending coefficients, real roots of low degree, cubic and quadratic interpolation."""
+"""Polynomials as arrays of ascending coefficients, real roots of low degree, cubic and quadratic interpolation.
+
+Where the number of coefficients is known, a list of columns does for an array: its sums are written out, so they are
+compiled, while the lambdas of arrays are interpreted.
+"""
 
 from __future__ import annotations
 
 import math
+from itertools import zip_longest
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,9 +15,19 @@ from pyspark.sql import functions as F
 from tessera.functions.quaternions import let
 
 
+def _some(c: list[Column]) -> list[Column]:
+    if not c:
+        raise ValueError("no coefficients")
+    return c
+
 
-def evaluate(c: Column, x: Column) -> Column:
+def evaluate(c: Column | list[Column], x: Column) -> Column:
     """Horner's rule."""
+    if isinstance(c, list):
+        out = F.lit(0.0)
+        for k in reversed(_some(c)):
+            out = out * x + k
+        return out
     return F.when(F.size(c) > 0, F.aggregate(F.reverse(c), F.lit(0.0), lambda s, k: s * x + k)).otherwise(F.raise_error(F.lit("no coefficients")).cast("double"))
 
 
@@ -29,20 +44,24 @@ def evaluate_derivatives(c: Column, x: Column, count: int) -> Column:
     return F.array(*out)
 
 
-def _padded(a: Column, b: Column, f) -> Column:
+def _padded(a, b, f):
+    if isinstance(a, list):
+        return [f(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))) for x, y in zip_longest(a, b, fillvalue=F.lit(0.0))]
     return F.zip_with(a, b, lambda x, y: f(F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))))
 
 
-def add(a: Column, b: Column) -> Column:
+def add(a, b):
     return _padded(a, b, lambda x, y: x + y)
 
 
-def subtract(a: Column, b: Column) -> Column:
+def subtract(a, b):
     return _padded(a, b, lambda x, y: x - y)
 
 
-def multiply(a: Column, b: Column) -> Column:
+def multiply(a, b):
     """Convolution of the coefficients; an empty side is an error."""
+    if isinstance(a, list):
+        return [sum((x * b[k - i] for i, x in enumerate(_some(a)) if 0 <= k - i < len(b)), F.lit(0.0)) for k in range(len(a) + len(_some(b)) - 1)]
     last = F.size(a) + F.size(b) - 2
 
     def cell(k: Column) -> Column:
@@ -52,15 +71,21 @@ def multiply(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), cell)).otherwise(F.raise_error(F.lit("no coefficients")).cast("array<double>"))
 
 
-def degree(c: Column) -> Column:
+def degree(c: Column | list[Column]) -> Column:
+    if isinstance(c, list):
+        return F.lit(len(_some(c)) - 1)
     return F.when(F.size(c) > 0, F.size(c) - 1).otherwise(F.raise_error(F.lit("no coefficients")).cast("int"))
 
 
-def sum_odd(c: Column) -> Column:
+def sum_odd(c: Column | list[Column]) -> Column:
+    if isinstance(c, list):
+        return sum(c[1::2], F.lit(0.0))
     return F.aggregate(F.filter(c, lambda _, i: i % 2 == 1), F.lit(0.0), lambda s, k: s + k)
 
 
-def sum_even(c: Column) -> Column:
+def sum_even(c: Column | list[Column]) -> Column:
+    if isinstance(c, list):
+        return sum(c[0::2], F.lit(0.0))
     return F.aggregate(F.filter(c, lambda _, i: i % 2 == 0), F.lit(0.0), lambda s, k: s + k)
 
 
@@ -72,7 +97,7 @@ def solve_quadratic(a: Column, b: Column, c: Column) -> Column:
 
     def roots(d: Column) -> Column:
         q = -(b + F.when(b < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(d, F.lit(0.0)))) / 2
-        both = F.array_sort(F.array(q / F.nullif(a, F.lit(0.0)), F.when(q == 0, 0.0).otherwise(c / F.nullif(q, F.lit(0.0)))))
+        both = F.sort_array(F.array(q / F.nullif(a, F.lit(0.0)), F.when(q == 0, 0.0).otherwise(c / F.nullif(q, F.lit(0.0)))))
         half = -b / (2 * F.nullif(a, F.lit(0.0)))
         return F.when(d < 0, none).when(d == 0, F.array(half, half)).otherwise(both)
 
@@ -92,7 +117,7 @@ def solve_cubic(a: Column, b: Column, c: Column, d: Column) -> Column:
         one = F.array(F.cbrt(-q / 2 + r) + F.cbrt(-q / 2 - r) - s)
         m = 2 * F.sqrt(F.greatest(-p / 3, F.lit(0.0)))
         turn = F.acos(F.least(F.greatest(3 * q / F.nullif(p * m, F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))) / 3
-        three = F.array_sort(F.array(*(m * F.cos(turn - 2 * math.pi * k / 3) - s for k in range(3))))
+        three = F.sort_array(F.array(*(m * F.cos(turn - 2 * math.pi * k / 3) - s for k in range(3))))
         return F.when((p == 0) & (q == 0), F.array(-s, -s, -s)).when(disc > 0, one).otherwise(three)
 
     return F.when(a == 0, solve_quadratic(b, c, d)).otherwise(let(depressed, roots))
@@ -114,9 +139,9 @@ def fit_points(xs: list[float], ys: list[float], slope_at: float | None = None,
     return np.linalg.solve(m, np.array(right, float)).tolist()
 
 
-def cubic_critical(c: Column) -> Column:
+def cubic_critical(c: Column | list[Column]) -> Column:
     """struct xmin, xmax, xifl, has_min, has_max, has_ifl of a cubic's coefficients; null where there is none."""
-    a, b, g = F.get(c, F.lit(3)), F.get(c, F.lit(2)), F.get(c, F.lit(1))
+    a, b, g = c[3:0:-1] if isinstance(c, list) else (F.get(c, F.lit(3)), F.get(c, F.lit(2)), F.get(c, F.lit(1)))
     roots = solve_quadratic(3 * a, 2 * b, g)
 
     def of(r: Column) -> Column:
@@ -128,8 +153,8 @@ def cubic_critical(c: Column) -> Column:
     return let(roots, of)
 
 
-def quadratic_optimum(c: Column) -> Column:
+def quadratic_optimum(c: Column | list[Column]) -> Column:
     """struct xopt, fopt of a quadratic's vertex; an error without a square term."""
-    a, b = F.get(c, F.lit(2)), F.get(c, F.lit(1))
+    a, b = c[2:0:-1] if isinstance(c, list) else (F.get(c, F.lit(2)), F.get(c, F.lit(1)))
     x = F.when(F.abs(a) < 1e-15, F.raise_error(F.lit("no square term")).cast("double")).otherwise(-b / (2 * F.nullif(a, F.lit(0.0))))
     return let(x, lambda v: F.struct(v.alias("xopt"), evaluate(c, v).alias("fopt")))

@@ -3,17 +3,55 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PARTS = ("w", "x", "y", "z")
 EPS = 2.0**-52
 
 
+_steps: ContextVar[list[Column] | None] = ContextVar("steps", default=None)
+
+
 def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value computed once: as a column of its own inside `steps`, else by a lambda, which is interpreted."""
+    kept = _steps.get()
+    if kept is None:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+    kept.append(value)
+    return body(F.col(f"_step{len(kept) - 1}"))
+
+
+@contextmanager
+def steps() -> Iterator[list[Column]]:
+    """Inside, `let` puts its values into the list; `with_steps` adds them to the table. Not for use under a lambda."""
+    kept: list[Column] = []
+    token = _steps.set(kept)
+    try:
+        yield kept
+    finally:
+        _steps.reset(token)
+
+
+def apart(c: Column) -> Column:
+    """The same value by way of a lambda, which keeps its projection out of whole-stage code: of many columns that makes
+    one method too long for the JIT compiler, while a projection of its own is split into small ones."""
+    return F.get(F.transform(F.array(c), lambda v: v), F.lit(0))
+
+
+def with_steps(df: DataFrame, kept: list[Column], key: str) -> DataFrame:
+    """df with the values of `let`, in as many projections as they depend on each other. key: any cheap column."""
+    levels: list[int] = []
+    for value in kept:
+        levels.append(1 + max((levels[int(i)] for i in re.findall(r"_step(\d+)", str(value))), default=-1))
+    for level in range(max(levels, default=-1) + 1):
+        df = df.withColumns({key: apart(F.col(key))} | {f"_step{i}": v for i, v in enumerate(kept) if levels[i] == level})
+    return df
 
 
 def quaternion(w, x, y, z) -> Column:

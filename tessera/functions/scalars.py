@@ -154,7 +154,12 @@ def essential_of_basis(a1: float, b1: float) -> tuple[float, float]:
     return math.hypot(a1, b1), math.atan2(-b1, a1)
 
 
-def chebyshev(c: Column, x: Column) -> Column:
-    """Clenshaw's sum of a coefficient array on [-1, 1], the first coefficient whole."""
+def chebyshev(c: Column | list[Column], x: Column) -> Column:
+    """Clenshaw's sum of a coefficient array (or list of columns) on [-1, 1], the first coefficient whole."""
+    if isinstance(c, list):
+        a = b = F.lit(0.0)
+        for k in reversed(c[1:]):
+            a, b = 2 * x * a - b + k, a
+        return x * a - b + c[0]
     s = F.aggregate(F.reverse(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, k: F.struct((2 * x * s["a"] - s["b"] + k).alias("a"), s["a"].alias("b")))
     return x * s["a"] - s["b"] + F.get(c, F.lit(0))
