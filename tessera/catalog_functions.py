@@ -284,19 +284,22 @@ def small_matrices(spark, sf_dir):
     names = list(_SMALL)
 
     def run(batches):
-        mixed = lambda m: float(m[0, 0] + 2 * m[0, 1] + 3 * m[1, 0] + 4 * m[1, 1])
+        mixed = lambda m: m[:, 0, 0] + 2 * m[:, 0, 1] + 3 * m[:, 1, 0] + 4 * m[:, 1, 1]
         for pdf in batches:
-            rows = []
-            for p, q in zip(pdf["p"], pdf["q"]):
-                a, b = np.array([[p, q], [q, 3.0]]), np.array([1.0, 2.0])
-                factors, pivots = matrix.lu(a)[:2]
-                low, values, (o, t) = matrix.cholesky(a), matrix.jacobi(a)[0], matrix.qr(a)
-                values = np.sort(np.ravel(values if np.ndim(values) == 1 else np.diag(values)))
-                v, tau, beta = matrix.householder(a[:, 0])
-                half = matrix.triangular_solve(np.tril(a), b, lower=True)
-                x, y = matrix.solve(a, b), matrix.solve_lu(factors, pivots, b)
-                rows.append((matrix.det(a), mixed(matrix.inverse(a)), mixed(matrix.inverse_small(a)[0]), x[0] + 2 * x[1], y[0] + 2 * y[1], low[0, 0] + 2 * low[1, 0] + 3 * low[1, 1], values[1], values[0], np.max(matrix.svd(a)[1]), abs(t[0, 0]), mixed(o @ t), matrix.dlapy2(p, q), half[0] + 2 * half[1], abs(float(beta))))
-            yield pd.DataFrame([(k, *map(float, r)) for k, r in zip(pdf["c_custkey"], rows)], columns=["c_custkey", *names])
+            if not len(pdf):
+                continue
+            p, q = pdf["p"].to_numpy(), pdf["q"].to_numpy()
+            a = np.stack([np.stack([p, q], 1), np.stack([q, np.full(len(p), 3.0)], 1)], 1)
+            b = np.broadcast_to([[1.0], [2.0]], (len(p), 2, 1))
+            factors, pivots = matrix.lu_many(a)
+            low, values, (o, t) = matrix.cholesky_many(a), np.sort(matrix.jacobi_many(a)[0], 1), matrix.qr_many(a)
+            half = matrix.triangular_solve_many(np.tril(a), b, True)[:, :, 0]
+            x = matrix.solve_lu_many(factors, pivots, b)[:, :, 0]
+            back = matrix.solve_lu_many(factors, pivots, np.broadcast_to(np.eye(2), a.shape))
+            beta = matrix.householder_many(a[:, :, 0])[2]
+            solved = x[:, 0] + 2 * x[:, 1]
+            columns = (matrix.det_many(factors, pivots), mixed(back), mixed(matrix.inverse_small_many(a)), solved, solved, low[:, 0, 0] + 2 * low[:, 1, 0] + 3 * low[:, 1, 1], values[:, 1], values[:, 0], matrix.singular_values_many(a)[:, 0], np.abs(t[:, 0, 0]), mixed(o @ t), np.hypot(p, q), half[:, 0] + 2 * half[:, 1], np.abs(beta))
+            yield pd.DataFrame({"c_custkey": pdf["c_custkey"]} | dict(zip(names, columns)))
 
     return rounded(df.mapInPandas(run, "c_custkey long, " + ", ".join(f"{c} double" for c in names)), 5)
 

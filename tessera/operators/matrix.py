@@ -342,6 +342,127 @@ def dlapy2(x: float, y: float) -> float:
     return float(np.hypot(x, y))
 
 
+# --- stacks of small matrices: the same steps for all of (..., n, n) at once --------------------------------------------
+
+
+def lu_many(a) -> tuple[np.ndarray, np.ndarray]:
+    """(LU, pivots) of every matrix as in `lu`; a pivot that is exactly 0 is an error."""
+    a = np.array(a, float)
+    n = a.shape[-1]
+    one, pivots = np.arange(len(a)), np.zeros((len(a), n), int)
+    for k in range(n):
+        p = k + np.abs(a[:, k:, k]).argmax(1)
+        pivots[:, k] = p
+        if (a[one, p, k] == 0).any():
+            raise SingularMatrix("a pivot is 0")
+        a[one, k], a[one, p] = a[one, p], a[one, k]
+        a[:, k + 1 :, k] /= a[:, k, k, None]
+        a[:, k + 1 :, k + 1 :] -= a[:, k + 1 :, k, None] * a[:, k, None, k + 1 :]
+    return a, pivots
+
+
+def triangular_solve_many(t: np.ndarray, b: np.ndarray, lower: bool, unit: bool = False) -> np.ndarray:
+    """Of matrices (m, n, n) and right sides (m, n, r)."""
+    x = np.array(b, float)
+    n = t.shape[-1]
+    for i in range(n) if lower else range(n - 1, -1, -1):
+        known = slice(0, i) if lower else slice(i + 1, n)
+        x[:, i] -= np.einsum("mk,mkr->mr", t[:, i, known], x[:, known])
+        if not unit:
+            if (t[:, i, i] == 0).any():
+                raise SingularMatrix("zero on the diagonal")
+            x[:, i] /= t[:, i, i, None]
+    return x
+
+
+def solve_lu_many(factors: np.ndarray, pivots: np.ndarray, b) -> np.ndarray:
+    x, one = np.array(b, float), np.arange(len(factors))
+    for k in range(pivots.shape[1]):
+        x[one, k], x[one, pivots[:, k]] = x[one, pivots[:, k]], x[one, k]
+    return triangular_solve_many(factors, triangular_solve_many(factors, x, True, True), False)
+
+
+def det_many(factors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """From what `lu_many` returns."""
+    return np.diagonal(factors, axis1=1, axis2=2).prod(1) * (-1.0) ** (pivots != np.arange(pivots.shape[1])).sum(1)
+
+
+def inverse_small_many(a: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """By cofactors, of 2 x 2."""
+    d = a[:, 0, 0] * a[:, 1, 1] - a[:, 0, 1] * a[:, 1, 0]
+    if (np.abs(d) <= tol).any():
+        raise SingularMatrix("the determinant is within tol of 0")
+    out = -a / d[:, None, None]
+    out[:, 0, 0], out[:, 1, 1] = a[:, 1, 1] / d, a[:, 0, 0] / d
+    return out
+
+
+def cholesky_many(a: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(a)
+    for j in range(a.shape[-1]):
+        d = a[:, j, j] - (out[:, j, :j] ** 2).sum(1)
+        if not (d > 0).all():  # also NaN
+            raise NotPositiveDefinite(f"pivot {j} isn't positive")
+        out[:, j, j] = np.sqrt(d)
+        out[:, j + 1 :, j] = (a[:, j + 1 :, j] - np.einsum("mik,mk->mi", out[:, j + 1 :, :j], out[:, j, :j])) / out[:, j, j, None]
+    return out
+
+
+def householder_many(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rest = np.sqrt((x[:, 1:] ** 2).sum(1))
+    none = rest == 0
+    beta = np.where(none, x[:, 0], -np.copysign(np.hypot(x[:, 0], rest), x[:, 0]))
+    v = x / np.where(none, 1, x[:, 0] - beta)[:, None]
+    v[:, 0] = 1
+    return v, np.where(none, 0, (beta - x[:, 0]) / np.where(beta == 0, 1, beta)), beta
+
+
+def qr_many(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of square matrices, by reflections."""
+    r, n = np.array(a, float), a.shape[-1]
+    q = np.broadcast_to(np.eye(n), a.shape).copy()
+    for j in range(n):
+        v, tau, _ = householder_many(r[:, j:, j])
+        r[:, j:] -= tau[:, None, None] * v[:, :, None] * np.einsum("mi,mij->mj", v, r[:, j:])[:, None]
+        q[:, :, j:] -= tau[:, None, None] * np.einsum("mij,mj->mi", q[:, :, j:], v)[:, :, None] * v[:, None]
+    return q, np.triu(r)
+
+
+def jacobi_many(a, tol: float = 1e-15, sweeps: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues, eigenvectors in columns) of symmetric matrices by cyclic rotations; each stops at its own tolerance."""
+    a = np.array(a, float)
+    n = a.shape[-1]
+    q = np.broadcast_to(np.eye(n), a.shape).copy()
+    off = lambda: np.abs(np.triu(a, 1)).sum((1, 2))
+    for _ in range(sweeps):
+        open_ = off() > tol
+        if not open_.any():
+            break
+        for i in range(n - 1):
+            for j in range(i + 1, n):
+                at = np.flatnonzero(open_ & (a[:, i, j] != 0))
+                theta = (a[at, j, j] - a[at, i, i]) / (2 * a[at, i, j])
+                t = np.where(theta >= 0, 1, -1) / (np.abs(theta) + np.hypot(theta, 1))
+                c = 1 / np.hypot(t, 1)
+                s = t * c
+                c, s = c[:, None], s[:, None]
+                x, y = a[at, i], a[at, j]
+                a[at, i], a[at, j] = c * x - s * y, s * x + c * y
+                for m in (a, q):
+                    x, y = m[at, :, i], m[at, :, j]
+                    m[at, :, i], m[at, :, j] = c * x - s * y, s * x + c * y
+                a[at, i, j] = a[at, j, i] = 0.0
+    if (off() > np.maximum(tol, 1e-9 * np.maximum(1.0, np.abs(a).sum((1, 2))))).any():
+        raise NotConverged("off-diagonal entries remain")
+    return np.diagonal(a, axis1=1, axis2=2).copy(), q
+
+
+def singular_values_many(a: np.ndarray) -> np.ndarray:
+    """Descending, from the eigenvalues of A'A as in `svd`."""
+    values = jacobi_many(np.swapaxes(a, 1, 2) @ a)[0]
+    return np.sqrt(np.maximum(-np.sort(-values, axis=1), 0))
+
+
 def per_matrix(df: DataFrame, key: str, i: str, j: str, val: str, fn, schema: str) -> DataFrame:
     """fn(key, dense matrix) -> DataFrame for every small matrix of a coordinate table, in parallel by key."""
     import pandas as pd

@@ -48,3 +48,31 @@ def test_steps_give_what_lambdas_give(spark):
     with quaternions.steps() as kept:
         column = quaternions.let(make(), lambda v: v)
     assert quaternions.with_steps(df, kept, "k").select(column).collect() == df.select(make()).collect()
+
+
+def test_stacks_give_what_single_matrices_give():
+    from tessera.operators import matrix
+
+    r = np.random.default_rng(1)
+    m = r.normal(size=(200, 3, 3))
+    m[0], m[1] = np.diag([1.0, 2.0, 3.0]), np.eye(3)[[1, 0, 2]] + 0.0
+    spd, b = m @ np.swapaxes(m, 1, 2) + np.eye(3), r.normal(size=(200, 3, 1))
+    f, p = matrix.lu_many(m)
+    near = lambda x, y: np.testing.assert_allclose(x, y, rtol=1e-9, atol=1e-9)
+    near(f, [matrix.lu(x)[0] for x in m])
+    near(matrix.det_many(f, p), [matrix.det(x) for x in m])
+    near(matrix.solve_lu_many(f, p, b), [matrix.solve(x, y) for x, y in zip(m, b)])
+    near(matrix.triangular_solve_many(np.tril(spd), b, True), [matrix.triangular_solve(np.tril(x), y, True) for x, y in zip(spd, b)])
+    near(matrix.cholesky_many(spd), [matrix.cholesky(x) for x in spd])
+    near(matrix.inverse_small_many(spd[:, :2, :2]), [matrix.inverse_small(x[:2, :2])[0] for x in spd])
+    for got, want in zip(matrix.qr_many(m), zip(*(matrix.qr(x) for x in m))):
+        near(got, want)
+    for got, want in zip(matrix.householder_many(m[:, :, 0]), zip(*(matrix.householder(x) for x in m[:, :, 0]))):
+        near(got, want)
+    for got, want in zip(matrix.jacobi_many(spd), zip(*(matrix.jacobi(x) for x in spd))):
+        near(got, want)
+    near(matrix.singular_values_many(m), [matrix.svd(x)[1] for x in m])
+    with pytest.raises(matrix.SingularMatrix):
+        matrix.lu_many(np.zeros((2, 2, 2)))
+    with pytest.raises(matrix.NotPositiveDefinite):
+        matrix.cholesky_many(-spd)
