@@ -76,3 +76,22 @@ def test_stacks_give_what_single_matrices_give():
         matrix.lu_many(np.zeros((2, 2, 2)))
     with pytest.raises(matrix.NotPositiveDefinite):
         matrix.cholesky_many(-spd)
+
+
+def test_transforms_of_mixed_lengths_and_nulls(spark):
+    """Without a Python object per bin, whatever the lengths in a batch."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import signal
+
+    rows = [(1, [1.0, 2.0, 3.0, 5.0]), (2, None), (3, [1.0, -1.0]), (4, [4.0, 0.5, 2.0, 1.0, 0.0, 7.0, 1.5, 2.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>").coalesce(1)
+    z = signal.fft(F.col("v"))
+    got = {r.k: r for r in df.select("k", z.alias("z"), signal.ifft_normalized(z).alias("b"), signal.fft_complex(z).alias("c")).collect()}
+    assert got[2].z is None and got[2].b is None and got[2].c is None
+    for k, v in rows:
+        if v is not None:
+            whole = lambda bins: [complex(x["re"], x["im"]) for x in bins]
+            assert whole(got[k].z) == pytest.approx(np.fft.fft(v).tolist())
+            assert got[k].b == pytest.approx(v)
+            assert whole(got[k].c) == pytest.approx(np.fft.fft(np.fft.fft(v)).tolist(), abs=1e-9)
