@@ -1,7 +1,12 @@
-"""Tokens, n-grams, stems, count and TF-IDF vectors; all inside the JVM."""
+"""Tokens, n-grams, stems, count and TF-IDF vectors."""
 
 from __future__ import annotations
 
+import string
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,18 +62,65 @@ def stem(word: Column) -> Column:
     return out.otherwise(word)
 
 
+_FOLDED = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in string.punctuation else c for c in range(256))
+
+
+def counts_of_rows(docs: DataFrame, low: int, high: int) -> DataFrame:
+    """(doc_id, token, n) of every row by itself: the tokens of `tokenize`, counted where the text is."""
+    low, high = min(low, high), max(low, high)
+    if low < 1:
+        raise ValueError("n must be positive")
+
+    def count(text: bytes) -> Counter:
+        words = [w for w in text.translate(_FOLDED).split(b" ") if w]  # UTF-8 has no ASCII bytes inside other signs
+        out = Counter(words) if low == 1 else Counter()
+        for n in range(max(low, 2), high + 1):
+            out.update(map(b"_".join, zip(*(words[i:] for i in range(n)))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places, tokens, n = [], [], []
+
+            def flush() -> pa.RecordBatch:
+                token = pa.array(tokens, pa.binary()).cast(pa.string())
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int32())), token, pa.array(n, pa.int64())], names=["doc_id", "token", "n"])
+
+            for i, text in enumerate(b.column(1).cast(pa.binary())):
+                if (text := text.as_py()) is None:
+                    continue
+                found = count(text)
+                places.extend([i] * len(found))
+                tokens.extend(found.keys())
+                n.extend(found.values())
+                if len(tokens) > 100_000:
+                    yield flush()
+                    places, tokens, n = [], [], []
+            yield flush()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, token string, n long")
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: int = 1, high: int = 1) -> DataFrame:
-    """(doc_id, token, n) with map-side partial counts."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenize(F.col(text_col), low, high)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    """(doc_id, token, n). Rows are counted where they are; only rows whose id is another row's as well meet by a shuffle."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return counts_of_rows(docs, low, high)
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    alone, shared = docs.join(again, same, "left_anti"), docs.join(again, same, "left_semi")
+    return counts_of_rows(alone, low, high).unionByName(counts_of_rows(shared, low, high).groupBy("doc_id", "token").agg(F.sum("n").alias("n")))
 
 
 def vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
     """(token, total, df, col): ranked by total descending, then token bytewise; at most max_features.
 
-    The ranking is an order by with a limit where there is one; else ranks come from running sums over groups of equal
-    totals, so no window holds all tokens.
+    The ranking is an order by with a limit where there is one; else tokens with their totals are written once, and ranks
+    come from running sums over groups of equal totals, so no window holds all tokens.
     """
     from tessera.core import prefix_sums
+    from tessera.operators.graph import _written as written
 
     v = counts.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
     if max_features is not None:
@@ -76,6 +128,7 @@ def vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
             raise ValueError("max_features must be positive")
         top = v.orderBy(F.desc("total"), "token").limit(max_features)
         return top.withColumn("col", F.row_number().over(Window.orderBy(F.desc("total"), "token")) - 1)
+    v = written(v)
     # Tokens of equal totals are ranked by their first two characters, then inside those.
     v = v.withColumn("_pre", F.left("token", F.lit(2)))
     sizes = prefix_sums(v.groupBy("total").agg(F.count("*").alias("k")), "total", {"upto": "k"}, descending=True).select("total", (F.col("upto") - F.col("k")).alias("_before"))

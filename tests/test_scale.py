@@ -95,3 +95,38 @@ def test_transforms_of_mixed_lengths_and_nulls(spark):
             assert whole(got[k].z) == pytest.approx(np.fft.fft(v).tolist())
             assert got[k].b == pytest.approx(v)
             assert whole(got[k].c) == pytest.approx(np.fft.fft(np.fft.fft(v)).tolist(), abs=1e-9)
+
+
+def _word_rows():
+    return [(1, "Straße A a, b-b  É é"), (2, None), (3, ""), (4, "\tx y_z «q» a A"), (4, "a a b x"), (None, "n a"), (None, "n"), (5, "one")]
+
+
+@pytest.mark.parametrize("low, high", [(1, 1), (2, 2), (3, 1)])
+def test_counts_of_rows_are_those_of_tokens(spark, low, high):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import text
+
+    df = spark.createDataFrame(_word_rows(), "doc_id long, text string")
+    want = df.select("doc_id", F.explode(text.tokenize(F.col("text"), low, high)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    got = text.token_counts(df, low=low, high=high)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_counting_shuffles_no_tokens_of_single_rows(spark):
+    from tessera.operators import text
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert "Exchange" not in plan(text.token_counts(docs))
+    ranked = plan(text.vocabulary(text.token_counts(docs)))
+    assert "MapInArrow" not in ranked  # counted once, before the branches of the ranking
+
+
+@pytest.mark.parametrize("name", ["token_counts", "vocabulary", "count_vectorize", "most_frequent_bigrams", "tf_idf"])
+def test_text_against_sql(spark, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = catalog.QUERIES[name](spark, SF)
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
